@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docframe.llm import langid
+from docframe.llm import langid, minhash
 
 
 def _table(spark, sf_dir, name):
@@ -17,5 +17,28 @@ def op9_language_id(spark, sf_dir):
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op9_language_id,)}
-ORACLE_SQL: dict[str, str] = {}
+def op3_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+OP3_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])
+                                    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS s FROM w
+), one AS (SELECT doc_id, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM one a JOIN one b ON a.x = b.x AND a.doc_id < b.doc_id
+  JOIN sets sa ON sa.doc_id = a.doc_id JOIN sets sb ON sb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, len(sa.s), len(sb.s)
+  HAVING 100 * count(*) >= 85 * (len(sa.s) + len(sb.s) - count(*))
+), both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(u, v) AS (SELECT u, v FROM both_ways UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.v, s.doc_id)) AS component_id, s.doc_id <= coalesce(m.v, s.doc_id) AS kept
+FROM sets s LEFT JOIN (SELECT u, min(v) AS v FROM reach GROUP BY u) m ON m.u = s.doc_id
+"""
+
+
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op9_language_id)}
+ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": OP3_SQL}
