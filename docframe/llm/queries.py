@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docframe.llm import langid, minhash
+from docframe.llm import bpe, langid, minhash
 
 
 def _table(spark, sf_dir, name):
@@ -40,5 +40,16 @@ FROM sets s LEFT JOIN (SELECT u, min(v) AS v FROM reach GROUP BY u) m ON m.u = s
 """
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op9_language_id)}
+def vocabulary(name="word_bpe_49k.json"):
+    """The place of a public vocabulary file; every executor has the package that holds it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_bpe(spark, sf_dir):
+    return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op9_language_id, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": OP3_SQL}
