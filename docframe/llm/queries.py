@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docframe.llm import bpe, langid, minhash
+from docframe.llm import bpe, langid, minhash, pii
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_pii(spark, sf_dir):
+    return pii.spans(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.predict(docs, langid.fit(docs))
@@ -51,5 +55,5 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op9_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op5_pii, op9_language_id, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": OP3_SQL}
