@@ -9,7 +9,7 @@ The candidates of a key are never paired with each other wholesale:
 1. texts with equal shingle sets are one node (their rows are tied to the smallest doc_id);
 2. every node is compared with one centre of each key it is in, and confirmed links are joined into components;
 3. only in keys that still hold several components, nodes of different components are compared: signatures first, in
-   blocks, then full sets. Pairs inside one component need no test, as they could not change the result.
+   blocks, then a longer sketch, then full sets. Pairs inside one component need no test, as they could not change the result.
 
 Steps 2 and 3 together test every pair that shares a key and isn't connected already, so no link is lost.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from docframe.cluster import durable, ship
@@ -30,13 +31,16 @@ from docframe.llm.components import components
 
 CHUNKS, WIDTH = 8, 5
 SYMBOLS = CHUNKS * WIDTH
-#: Differing symbols up to which two signatures of different components are compared on full sets; at a similarity of
-#: 0.85 the mean is 6 and the standard deviation 2.3.
+#: Differing symbols up to which a pair that met under a key stays a candidate: at a similarity of 0.85 the mean is 6 and
+#: the standard deviation 2.3, at 0.8 they are 8 and 2.5.
 MAX_DIFFERING = 22
+#: Symbols of the longer sketch (8 bits each) that pairs of different components pass before their sets are compared, and
+#: the standard deviations above the mean that they may differ by.
+SKETCH, SIGMAS = 256, 4.5
 #: Rows of a key that are compared with each other at once.
 BLOCK = 4096
-_MUL = K.splitmix(np.arange(1, SYMBOLS + 1)) | np.uint64(1)
-_ADD = K.splitmix(np.arange(1001, SYMBOLS + 1001))
+_MUL = K.splitmix(np.arange(1, SYMBOLS + SKETCH + 1)) | np.uint64(1)
+_ADD = K.splitmix(np.arange(1001, SYMBOLS + SKETCH + 1001))
 
 
 def shingle_sets(column, size: int) -> list[np.ndarray]:
@@ -58,14 +62,29 @@ def shingle_sets(column, size: int) -> list[np.ndarray]:
     return out
 
 
+def _least(own: np.ndarray, first: int, n: int) -> np.ndarray:
+    least = np.full(n, ~np.uint64(0))
+    mul, add = _MUL[first : first + n, None], _ADD[first : first + n, None]
+    with np.errstate(over="ignore"):
+        for k in range(0, len(own), 4096):
+            least = np.minimum(least, ((own[None, k : k + 4096] ^ add) * mul).min(axis=1))
+    return K.splitmix(least)
+
+
 def signature(own: np.ndarray) -> np.ndarray:
     """SYMBOLS symbols of 16 bits of one non-empty set."""
-    least = np.full(SYMBOLS, ~np.uint64(0))
-    with np.errstate(over="ignore"):
-        for k in range(0, len(own), 8192):
-            part = own[k : k + 8192]
-            least = np.minimum(least, ((part[None, :] ^ _ADD[:, None]) * _MUL[:, None]).min(axis=1))
-    return (K.splitmix(least) >> np.uint64(48)).astype(np.uint16)
+    return (_least(own, 0, SYMBOLS) >> np.uint64(48)).astype(np.uint16)
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """SKETCH symbols of 8 bits, of functions other than the signature's."""
+    return (_least(own, SYMBOLS, SKETCH) >> np.uint64(56)).astype(np.uint8)
+
+
+def sketch_limit(percent: int) -> int:
+    """Symbols of two sketches that may differ at this similarity."""
+    p = (1 - percent / 100) * 255 / 256
+    return int(SKETCH * p + SIGMAS * (SKETCH * p * (1 - p)) ** 0.5)
 
 
 def _features(size: int):
@@ -105,7 +124,21 @@ def _keys(batches):
             for i in (i for i in range(WIDTH) if i != j):
                 packed = packed << np.uint64(16) | chunks[:, :, i]
             keys[:, :, j] = K.splitmix(K.splitmix(packed) + K.splitmix(np.arange(CHUNKS) * WIDTH + j)[None, :])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), SYMBOLS))], names=["key", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), SYMBOLS)), pa.array(np.tile(np.arange(SYMBOLS, dtype=np.int8), batch.num_rows))], names=["key", "node", "slot"])
+
+
+def _sets_once(ids, texts, size: int) -> list[np.ndarray]:
+    """The set of each row; a run of rows of the same id and text is cut into words once."""
+    ids = ids.to_numpy()
+    new = np.ones(len(ids), dtype=bool)
+    order = np.argsort(ids, kind="stable")
+    same = pc.equal(texts.take(pa.array(order[1:])), texts.take(pa.array(order[:-1]))).to_numpy(zero_copy_only=False).astype(bool)
+    new[1:] = (ids[order][1:] != ids[order][:-1]) | ~same
+    sets = shingle_sets(texts.take(pa.array(order[new])), size)
+    out = [None] * len(ids)
+    for at, k in zip(order, np.cumsum(new) - 1):
+        out[at] = sets[k]
+    return out
 
 
 def _confirm(size: int, percent: int):
@@ -115,7 +148,7 @@ def _confirm(size: int, percent: int):
         for batch in batches:
             for part in K.slices(batch, "tu"):
                 for sub in K.slices(part, "tv"):
-                    left, right = shingle_sets(sub.column(2), size), shingle_sets(sub.column(3), size)
+                    left, right = _sets_once(sub.column(0), sub.column(2), size), _sets_once(sub.column(1), sub.column(3), size)
                     ok = []
                     for a, b in zip(left, right):
                         both = len(a) + len(b) - len(np.union1d(a, b))
@@ -125,38 +158,74 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _across(batches):
-    """Pairs of different components with near signatures, from rows (key, i, j, block, node, component, sig) sorted by key, i, j."""
-    held, now = [], None
+def _near(batches):
+    """Of rows (u, v, signature of u, signature of v), those that differ in few symbols."""
+    for batch in batches:
+        if batch.num_rows:
+            far = (_signatures(batch.column(2)) != _signatures(batch.column(3))).sum(axis=1)
+            yield batch.select(["u", "v"]).filter(pa.array(far <= MAX_DIFFERING))
+
 
-    def pairs():
-        block = np.array([x[0] for x in held])
-        node, comp = np.array([x[1] for x in held]), np.array([x[2] for x in held])
-        sig = np.frombuffer(b"".join(x[3] for x in held), dtype="<u2").reshape(len(held), SYMBOLS)
-        left = np.flatnonzero(block == now[1])
-        right = np.flatnonzero(block == now[2])
+def _sketches(size: int):
+    def run(batches):
+        for batch in batches:
+            for part in K.slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch(s).tobytes() for s in shingle_sets(part.column(1), size)], pa.binary())], names=["node", "sketch"])
+
+    return run
+
+
+def _first_slot(equal: np.ndarray) -> np.ndarray:
+    """The first slot under which pairs meet; equal: pairs by SYMBOLS."""
+    chunks = equal.reshape(-1, CHUNKS, WIDTH)
+    n = chunks.sum(axis=2, keepdims=True)
+    meets = (n == WIDTH) | ((n == WIDTH - 1) & ~chunks)
+    return meets.reshape(-1, SYMBOLS).argmax(axis=1)
+
+
+def _across(limit: int):
+    """Near pairs of different components, each under the first key that they share.
+
+    Rows: key, i, j, slot, block, node, component, sig, sketch; sorted by key, i, j.
+    """
+
+    def pairs(now, held):
+        block, node, comp = (np.array([x[k] for x in held]) for k in (1, 2, 3))
+        sig = np.frombuffer(b"".join(x[4] for x in held), dtype="<u2").reshape(len(held), SYMBOLS)
+        long = np.frombuffer(b"".join(x[5] for x in held), dtype=np.uint8).reshape(len(held), SKETCH)
+        left, right, slot = np.flatnonzero(block == now[1]), np.flatnonzero(block == now[2]), held[0][0]
         for a in range(0, len(left), 64):
             rows = left[a : a + 64]
             for b in range(0, len(right), 1024):
                 cols = right[b : b + 1024]
-                far = (sig[rows][:, None, :] != sig[cols][None, :, :]).sum(axis=2)
-                ok = (far <= MAX_DIFFERING) & (comp[rows][:, None] != comp[cols][None, :])
+                ok = comp[rows][:, None] != comp[cols][None, :]
                 if now[1] == now[2]:
                     ok &= node[rows][:, None] < node[cols][None, :]
                 x, y = np.nonzero(ok)
-                if len(x):
-                    u, v = node[rows[x]], node[cols[y]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+                x, y = rows[x], cols[y]
+                for k in range(0, len(x), 8192):
+                    u, v = x[k : k + 8192], y[k : k + 8192]
+                    equal = sig[u] == sig[v]
+                    good = (equal.sum(axis=1) >= SYMBOLS - MAX_DIFFERING) & (_first_slot(equal) == slot)
+                    u, v = u[good], v[good]
+                    good = (long[u] != long[v]).sum(axis=1) <= limit
+                    u, v = node[u[good]], node[v[good]]
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-    for batch in batches:
-        for key, i, j, block, node, comp, sig in zip(*(c.to_pylist() for c in batch.columns)):
-            if now != (key, i, j):
-                if held:
-                    yield from pairs()
-                held, now = [], (key, i, j)
-            held.append((block, node, comp, sig))
-    if held:
-        yield from pairs()
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            for key, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != (key, i, j):
+                    if len(held) > 1:
+                        yield from pairs(now, held)
+                    held, now = [], (key, i, j)
+                held.append(rest)
+        if len(held) > 1:
+            yield from pairs(now, held)
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -168,11 +237,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     groups = durable(feat.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"), F.count("*").alias("copies")))
     same = feat.where("doc_id is not null").join(groups.where("copies > 1").drop("sig"), ["n_shingles", "s1", "s2"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
-    keys = groups.select("node", "sig").mapInArrow(_keys, "key long, node long")
+    keys = groups.select("node", "sig").mapInArrow(_keys, "key long, node long, slot byte")
     order = F.xxhash64("node", F.pmod("key", F.lit(4)))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", order).alias("centre")).where("n > 1")
     shared = durable(keys.join(shared, "key"))
-    stars = durable(shared.where("node <> centre").select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct())
+    sigs = groups.select("node", "sig")
+    met = shared.where("node <> centre").select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
+    met = met.join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v")
+    stars = durable(met.select("u", "v", "su", "sv").mapInArrow(_near, "u long, v long"))
     texts = durable(docs.where("text is not null").join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id"))
 
     def confirmed(pairs):
@@ -184,13 +256,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     # Keys that still hold several components.
     label = F.coalesce("component", "node").alias("component")
-    placed = shared.join(found, "node", "left").select("key", "n", "node", label)
+    placed = shared.join(found, "node", "left").select("key", "n", "slot", "node", label)
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rows = placed.join(mixed, "key").join(groups.select("node", "sig"), "node")
+    rows = durable(placed.join(mixed, "key"))
+    sketches = durable(texts.join(rows.select(F.col("node").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sketches(size), "node long, sketch binary").dropDuplicates(["node"]))
+    rows = rows.join(sigs, "node").join(sketches, "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "sig")
-    across = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, "u long, v long").distinct()
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "slot", "block", "node", "component", "sig", "sketch")
+    across = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(sketch_limit(percent)), "u long, v long").distinct()
     across = durable(across.join(stars, ["u", "v"], "left_anti"))
     if not across.isEmpty():
         found = durable(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(confirmed(across))))
