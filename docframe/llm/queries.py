@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docframe.llm import bpe, langid, minhash, pii
+from docframe.llm import bpe, decontaminate, langid, minhash, pii
+from docframe.llm.vocab import vocabulary
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_decontamination(spark, sf_dir):
+    """One row for each document and benchmark item that it contains."""
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_pii(spark, sf_dir):
     return pii.spans(_table(spark, sf_dir, "documents"))
 
@@ -44,16 +50,15 @@ FROM sets s LEFT JOIN (SELECT u, min(v) AS v FROM reach GROUP BY u) m ON m.u = s
 """
 
 
-def vocabulary(name="word_bpe_49k.json"):
-    """The place of a public vocabulary file; every executor has the package that holds it."""
-    import public_tokenizers
+def op10_bpe(spark, sf_dir):
+    return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
 
-    return public_tokenizers.path(name)
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
 
-def op10_bpe(spark, sf_dir):
-    return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
+    return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op5_pii, op9_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_decontamination, op5_pii, op9_language_id, op10_bpe, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": OP3_SQL}
