@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docframe.llm import bpe, decontaminate, langid, minhash, pii
+from docframe.llm import bpe, chat, decontaminate, langid, minhash, pii
 from docframe.llm.vocab import vocabulary
 
 
@@ -27,6 +27,30 @@ def op9_language_id(spark, sf_dir):
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op1_chat_formatting(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.digests(turns.unionByName(more))
+
+
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+  SELECT *, 24 + length(regexp_replace(role, '\\|<s>|</s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]', '\0-', 'g'))
+    + length(regexp_replace(text, '\\|<s>|</s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]', '\0-', 'g')) AS n FROM t
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_rewrites
+FROM e GROUP BY conv_id
+"""
+
+
 def op3_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -60,5 +84,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op4_decontamination, op5_pii, op9_language_id, op10_bpe, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_minhash_near_dedup, op4_decontamination, op5_pii, op9_language_id, op10_bpe, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_minhash_near_dedup": OP3_SQL}
