@@ -36,7 +36,9 @@ SYMBOLS = CHUNKS * WIDTH
 MAX_DIFFERING = 22
 #: Symbols of the longer sketch (8 bits each) that pairs of different components pass before their sets are compared, and
 #: the standard deviations above the mean that they may differ by.
-SKETCH, SIGMAS = 256, 4.5
+SKETCH, SIGMAS = 512, 4.5
+#: Rounds in which each node is tried against the nearest of other components only, before all are.
+ROUNDS = 1
 #: Rows of a key that are compared with each other at once.
 BLOCK = 4096
 _MUL = K.splitmix(np.arange(1, SYMBOLS + SKETCH + 1)) | np.uint64(1)
@@ -183,35 +185,46 @@ def _first_slot(equal: np.ndarray) -> np.ndarray:
     return meets.reshape(-1, SYMBOLS).argmax(axis=1)
 
 
-def _across(limit: int):
-    """Near pairs of different components, each under the first key that they share.
+def _across(limit: int, nearest: bool):
+    """Near pairs of different components, each under the first key that they share; nearest: for each node one.
 
     Rows: key, i, j, slot, block, node, component, sig, sketch; sorted by key, i, j.
     """
 
+    def near(rows, cols, comp, sig, long, slot):
+        x, y = np.nonzero(comp[rows][:, None] != comp[cols][None, :])
+        x, y = rows[x], cols[y]
+        for k in range(0, len(x), 8192):
+            u, v = x[k : k + 8192], y[k : k + 8192]
+            equal = sig[u] == sig[v]
+            good = (equal.sum(axis=1) >= SYMBOLS - MAX_DIFFERING) & (_first_slot(equal) == slot)
+            u, v = u[good], v[good]
+            far = (long[u] != long[v]).sum(axis=1)
+            yield u[far <= limit], v[far <= limit], far[far <= limit]
+
     def pairs(now, held):
         block, node, comp = (np.array([x[k] for x in held]) for k in (1, 2, 3))
+        if (comp == comp[0]).all():
+            return
         sig = np.frombuffer(b"".join(x[4] for x in held), dtype="<u2").reshape(len(held), SYMBOLS)
         long = np.frombuffer(b"".join(x[5] for x in held), dtype=np.uint8).reshape(len(held), SKETCH)
         left, right, slot = np.flatnonzero(block == now[1]), np.flatnonzero(block == now[2]), held[0][0]
         for a in range(0, len(left), 64):
             rows = left[a : a + 64]
-            for b in range(0, len(right), 1024):
-                cols = right[b : b + 1024]
-                ok = comp[rows][:, None] != comp[cols][None, :]
-                if now[1] == now[2]:
-                    ok &= node[rows][:, None] < node[cols][None, :]
-                x, y = np.nonzero(ok)
-                x, y = rows[x], cols[y]
-                for k in range(0, len(x), 8192):
-                    u, v = x[k : k + 8192], y[k : k + 8192]
-                    equal = sig[u] == sig[v]
-                    good = (equal.sum(axis=1) >= SYMBOLS - MAX_DIFFERING) & (_first_slot(equal) == slot)
-                    u, v = u[good], v[good]
-                    good = (long[u] != long[v]).sum(axis=1) <= limit
-                    u, v = node[u[good]], node[v[good]]
-                    if len(u):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+            got = [g for b in range(0, len(right), 1024) for g in near(rows, right[b : b + 1024], comp, sig, long, slot)]
+            u, v, far = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
+            if nearest:
+                order = np.lexsort((node[v], far, u))
+                u, v = u[order], v[order]
+                first = np.ones(len(u), bool)
+                first[1:] = u[1:] != u[:-1]
+                u, v = u[first], v[first]
+            elif now[1] == now[2]:
+                once = node[u] < node[v]
+                u, v = u[once], v[once]
+            if len(u):
+                u, v = node[u], node[v]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
     def run(batches):
         held, now = [], None
@@ -254,20 +267,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = durable(same.unionByName(confirmed(stars)))
     found = durable(components(links))
 
-    # Keys that still hold several components.
-    label = F.coalesce("component", "node").alias("component")
-    placed = shared.join(found, "node", "left").select("key", "n", "slot", "node", label)
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rows = durable(placed.join(mixed, "key"))
-    sketches = durable(texts.join(rows.select(F.col("node").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sketches(size), "node long, sketch binary").dropDuplicates(["node"]))
-    rows = rows.join(sigs, "node").join(sketches, "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "slot", "block", "node", "component", "sig", "sketch")
-    across = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(sketch_limit(percent)), "u long, v long").distinct()
-    across = durable(across.join(stars, ["u", "v"], "left_anti"))
-    if not across.isEmpty():
-        found = durable(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(confirmed(across))))
+    # Keys that still hold several components: first each node against the nearest of another one, then all.
+    sketches = durable(texts.mapInArrow(_sketches(size), "node long, sketch binary").dropDuplicates(["node"]))
+    tested = stars
+    for nearest in [True] * ROUNDS + [False]:
+        placed = shared.join(found, "node", "left").select("key", "n", "slot", "node", F.coalesce("component", "node").alias("component"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+        rows = placed.join(mixed, "key").join(sigs, "node").join(sketches, "node")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "slot", "block", "node", "component", "sig", "sketch")
+        across = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(sketch_limit(percent), nearest), "u long, v long").distinct()
+        across = durable(across.join(tested, ["u", "v"], "left_anti"))
+        if across.isEmpty():
+            break
+        new = durable(confirmed(across))
+        tested = tested.unionByName(across)
+        if not new.isEmpty():
+            found = durable(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(new)))
     return (
         feat.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .withColumn("component_id", F.coalesce("component", "doc_id"))
