@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docframe.llm import bpe, chat, decontaminate, importance, langid, minhash, pii, rules
+from docframe.llm import bpe, chat, decontaminate, importance, langid, minhash, pii, rules, toxicity
 from docframe.llm.vocab import vocabulary
 
 
@@ -21,6 +21,12 @@ def op5_pii(spark, sf_dir):
     return pii.spans(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_quality_rules(spark, sf_dir):
     return rules.judged(_table(spark, sf_dir, "documents"))
 
@@ -93,5 +99,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_minhash_near_dedup, op4_decontamination, op5_pii, op7_quality_rules, op8_importance_resampling, op9_language_id, op10_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_minhash_near_dedup, op4_decontamination, op5_pii, op6_toxicity, op7_quality_rules, op8_importance_resampling, op9_language_id, op10_bpe, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_minhash_near_dedup": OP3_SQL}
