@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docframe.llm import bpe, chat, decontaminate, importance, langid, minhash, pii, rules, toxicity
+from docframe.llm import bpe, chat, decontaminate, importance, langid, minhash, pii, rules, substrings, toxicity
 from docframe.llm.vocab import vocabulary
 
 
@@ -66,6 +66,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_suffix_array_dedup(spark, sf_dir):
+    return substrings.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -99,5 +103,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_minhash_near_dedup, op4_decontamination, op5_pii, op6_toxicity, op7_quality_rules, op8_importance_resampling, op9_language_id, op10_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_suffix_array_dedup, op3_minhash_near_dedup, op4_decontamination, op5_pii, op6_toxicity, op7_quality_rules, op8_importance_resampling, op9_language_id, op10_bpe, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_minhash_near_dedup": OP3_SQL}
