@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docframe.plans import text
+from docframe.plans import layout, matching, metrics, sequences, text  # noqa: F401  each registers its queries
+from docframe.plans.registry import ORACLE_SQL, QUERIES
 
-QUERIES = {**text.QUERIES}
-ORACLE_SQL = {**text.ORACLE_SQL}
+__all__ = ["ORACLE_SQL", "QUERIES"]

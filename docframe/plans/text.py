@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
+import unicodedata
 
-def query(sql: str | None = None):
-    """Register a function as a query, with the SQL that gives the same rows."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
+import pandas as pd
+from pyspark.sql import functions as F
 
+from docframe.operators.sequences import running
+from docframe.plans.registry import query, sql_query, table
 
 @query("""
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS n_chars,
@@ -27,10 +17,144 @@ FROM conversations GROUP BY conv_id
 """)
 def q02_text_assembly(spark, sf_dir):
     """Sheets of text with a banner, lines in their order."""
-    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    t = table(spark, sf_dir, "conversations")
     lines = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     return (
         t.groupBy("conv_id")
         .agg(F.count("*").alias("n_turns"), F.sum(F.length("text")).cast("bigint").alias("n_chars"), lines.alias("lines"))
         .select("conv_id", "n_turns", "n_chars", F.concat(F.lit("=== conv "), F.col("conv_id").cast("string"), F.lit(" ===\n"), F.array_join(F.transform("lines", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")).alias("body"))
     )
+
+
+sql_query(
+    "q01_sniff",
+    r"""SELECT src, kind, count(*) AS n, CAST(sum(controls) AS BIGINT) AS controls FROM (
+      SELECT 'pages' AS src, CASE WHEN lower(substring(html, 1, 9)) = '<!doctype' THEN 'html5' WHEN lower(substring(html, 1, 5)) = '<html' THEN 'html' WHEN substring(html, 1, 1) = '<' THEN 'markup' ELSE 'text' END AS kind,
+        length(substring(html, 1, 512)) - length(regexp_replace(substring(html, 1, 512), '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '')) AS controls FROM {pages}
+      UNION ALL
+      SELECT 'documents', CASE WHEN substring(text, 1, 4) = '%PDF' THEN 'pdf' WHEN substring(text, 1, 2) = 'PK' THEN 'zip' WHEN substring(text, 1, 1) IN ('{{', '[') THEN 'json' WHEN substring(text, 1, 5) = '{{\\rtf' THEN 'rtf' ELSE 'text' END,
+        length(substring(text, 1, 512)) - length(regexp_replace(substring(text, 1, 512), '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '')) FROM {documents}) t GROUP BY src, kind""",
+    r"""SELECT src, kind, count(*) AS n, CAST(sum(controls) AS BIGINT) AS controls FROM (
+      SELECT 'pages' AS src, CASE WHEN lower(substring(html, 1, 9)) = '<!doctype' THEN 'html5' WHEN lower(substring(html, 1, 5)) = '<html' THEN 'html' WHEN substring(html, 1, 1) = '<' THEN 'markup' ELSE 'text' END AS kind,
+        length(substring(html, 1, 512)) - length(regexp_replace(substring(html, 1, 512), '[\x00-\x08\x0b-\x1f\x7f]', '', 'g')) AS controls FROM {pages}
+      UNION ALL
+      SELECT 'documents', CASE WHEN substring(text, 1, 4) = '%PDF' THEN 'pdf' WHEN substring(text, 1, 2) = 'PK' THEN 'zip' WHEN substring(text, 1, 1) IN (chr(123), '[') THEN 'json' WHEN substring(text, 1, 5) = chr(123) || '\rtf' THEN 'rtf' ELSE 'text' END,
+        length(substring(text, 1, 512)) - length(regexp_replace(substring(text, 1, 512), '[\x00-\x08\x0b-\x1f\x7f]', '', 'g')) FROM {documents}) t GROUP BY src, kind""",
+)
+
+
+def paragraphs(docs):
+    """doc_id, para_no, text: lines after CRLF to LF, without empty ones at the end (one stays)."""
+    lines = F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n", -1)
+    full = F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform(lines, lambda x, i: F.when(x != "", i + 1).otherwise(0))), F.lit(1)))
+    return docs.select("doc_id", F.posexplode(F.slice(lines, F.lit(1), full)).alias("para_no", "text"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, max(CASE WHEN line <> '' THEN i ELSE 1 END) OVER (PARTITION BY doc_id) AS last FROM l)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_paras, CAST(sum(length(line)) AS BIGINT) AS n_chars, CAST(max(length(line)) AS BIGINT) AS longest FROM k WHERE i <= last GROUP BY doc_id
+""")
+def q03_paragraphs(spark, sf_dir):
+    n = F.length("text")
+    return paragraphs(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_paras"), F.sum(n).cast("bigint").alias("n_chars"), F.max(n).cast("bigint").alias("longest"))
+
+
+@query(r"""
+WITH r AS (SELECT doc_id, regexp_extract_all(text, '[\x00-\x08\x0a-\x1f\x7f]+|[^\x00-\x08\x0a-\x1f\x7f]+') AS runs FROM documents),
+u AS (SELECT doc_id, unnest(runs) AS run, generate_subscripts(runs, 1) AS i FROM r),
+s AS (SELECT *, coalesce(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM u)
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS run_no, CASE WHEN regexp_matches(run, '^[\x00-\x08\x0a-\x1f\x7f]') THEN 'control' ELSE 'text' END AS kind, CAST(a AS BIGINT) AS start, CAST(a + length(run) AS BIGINT) AS "end" FROM s
+""")
+def q04_token_runs(spark, sf_dir):
+    """Islands of text and of control characters, a tab being text."""
+    control = r"[\x00-\x08\x0a-\x1f\x7f]"
+    runs = F.regexp_extract_all("text", F.lit(rf"({control}+|[^\x00-\x08\x0a-\x1f\x7f]+)"), 1)
+    u = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(runs).alias("i", "run"))
+    s = running(u, ["doc_id"], ["i"], F.length("run"), "a")
+    kind = F.when(F.col("run").rlike(f"^{control}"), "control").otherwise("text")
+    return s.select("doc_id", F.col("i").cast("bigint").alias("run_no"), kind.alias("kind"), F.col("a").cast("bigint").alias("start"), (F.col("a") + F.length("run")).cast("bigint").alias("end"))
+
+
+sql_query(
+    "q14_escape",
+    "SELECT page_id, CAST(length(e) AS BIGINT) AS n_chars, md5(e) AS digest FROM (SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS e FROM {pages}) t",
+)
+sql_query(
+    "q15_markdown",
+    r"""SELECT r_name, concat('| Key | Name |\n| --- | --- |\n', array_join(transform(array_sort(collect_list(struct(n_nationkey, n_name))), x -> concat('| ', x.n_nationkey, ' | ', replace(x.n_name, '|', '\\|'), ' |')), '\n')) AS body
+    FROM {region} JOIN {nation} ON r_regionkey = n_regionkey GROUP BY r_name""",
+    r"""SELECT r_name, '| Key | Name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || replace(n_name, '|', '\|') || ' |', chr(10) ORDER BY n_nationkey) AS body
+    FROM {region} JOIN {nation} ON r_regionkey = n_regionkey GROUP BY r_name""",
+)
+sql_query(
+    "q16_find",
+    "SELECT doc_id, CAST(size(parts) - 1 AS BIGINT) AS n_found, CASE WHEN size(parts) > 1 THEN CAST(length(parts[0]) AS BIGINT) END AS first_at FROM (SELECT doc_id, split(text, 'the', -1) AS parts FROM {documents}) t",
+    "SELECT doc_id, CAST(len(parts) - 1 AS BIGINT) AS n_found, CASE WHEN len(parts) > 1 THEN CAST(length(parts[1]) AS BIGINT) END AS first_at FROM (SELECT doc_id, string_split(text, 'the') AS parts FROM {documents}) t",
+)
+sql_query(
+    "q17_replace_all",
+    "SELECT doc_id, md5(replace(text, 'and', '&')) AS digest, CAST((length(text) - length(replace(text, 'and', ''))) / 3 AS BIGINT) AS n_replaced FROM {documents}",
+    "SELECT doc_id, md5(replace(text, 'and', '&')) AS digest, CAST((length(text) - length(replace(text, 'and', ''))) // 3 AS BIGINT) AS n_replaced FROM {documents}",
+)
+_CLASS = "CASE WHEN c IN (9, 32, 160, 12288) THEN 'space' WHEN c < 32 OR c BETWEEN 127 AND 159 THEN 'control' WHEN c BETWEEN 48 AND 57 THEN 'digit' WHEN c BETWEEN 65 AND 90 OR c BETWEEN 97 AND 122 OR c BETWEEN 192 AND 591 THEN 'latin' WHEN c BETWEEN 12353 AND 12543 THEN 'kana' WHEN c BETWEEN 19968 AND 40959 THEN 'han' ELSE 'other' END"
+sql_query(
+    "q18_char_classes",
+    f"""WITH ch AS (SELECT doc_id, i, ascii(x) AS c FROM (SELECT doc_id, posexplode(split(substring(text, 1, 200), '')) AS (i, x) FROM {{documents}}) t WHERE x <> ''),
+    k AS (SELECT doc_id, i, {_CLASS} AS class FROM ch), n AS (SELECT *, CASE WHEN class = lag(class) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM k)
+    SELECT doc_id, class, CAST(sum(new) AS BIGINT) AS n_runs, count(*) AS n_chars FROM n GROUP BY doc_id, class""",
+    f"""WITH ch AS (SELECT doc_id, i, unicode(substring(text, CAST(i AS BIGINT), 1)) AS c FROM (SELECT doc_id, text, unnest(range(1, least(200, length(text)) + 1)) AS i FROM {{documents}}) t),
+    k AS (SELECT doc_id, i, {_CLASS} AS class FROM ch), n AS (SELECT *, CASE WHEN class = lag(class) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM k)
+    SELECT doc_id, class, CAST(sum(new) AS BIGINT) AS n_runs, count(*) AS n_chars FROM n GROUP BY doc_id, class""",
+)
+_WIDTH = "CASE WHEN c BETWEEN 32 AND 126 OR c BETWEEN 65377 AND 65439 OR c BETWEEN 160 AND 591 THEN 1 ELSE 2 END"
+sql_query(
+    "q19_widths",
+    f"""SELECT doc_id, CAST(sum({_WIDTH}) AS BIGINT) AS half_cells, count(*) AS n_chars, CAST(sum(CASE WHEN c IN (41, 93, 44, 46) AND nxt IN (32, 10) THEN 1 ELSE 0 END) AS BIGINT) AS squeezed FROM
+    (SELECT doc_id, ascii(x) AS c, lead(ascii(x)) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM (SELECT doc_id, posexplode(split(substring(text, 1, 400), '')) AS (i, x) FROM {{documents}}) t WHERE x <> '') u GROUP BY doc_id""",
+    f"""SELECT doc_id, CAST(sum({_WIDTH}) AS BIGINT) AS half_cells, count(*) AS n_chars, CAST(sum(CASE WHEN c IN (41, 93, 44, 46) AND nxt IN (32, 10) THEN 1 ELSE 0 END) AS BIGINT) AS squeezed FROM
+    (SELECT doc_id, unicode(substring(text, CAST(i AS BIGINT), 1)) AS c, lead(unicode(substring(text, CAST(i AS BIGINT), 1))) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM (SELECT doc_id, text, unnest(range(1, least(400, length(text)) + 1)) AS i FROM {{documents}}) t) u GROUP BY doc_id""",
+)
+sql_query(
+    "q38_failure_codes",
+    r"""SELECT bucket, ext, kind, count(*) AS n FROM (SELECT CASE WHEN length(html) < 1000 THEN 'small' WHEN length(html) < 5000 THEN 'medium' ELSE 'large' END AS bucket, lower(regexp_extract(url, '\\.([a-z0-9]+)$', 1)) AS ext,
+      CASE WHEN html RLIKE '(?i)script' THEN 'script' WHEN html RLIKE '(?i)error|fail' THEN 'error' WHEN html RLIKE '(?i)login' THEN 'login' ELSE 'none' END AS kind FROM {pages}) t GROUP BY bucket, ext, kind""",
+    r"""SELECT bucket, ext, kind, count(*) AS n FROM (SELECT CASE WHEN length(html) < 1000 THEN 'small' WHEN length(html) < 5000 THEN 'medium' ELSE 'large' END AS bucket, lower(regexp_extract(url, '\.([a-z0-9]+)$', 1)) AS ext,
+      CASE WHEN regexp_matches(html, '(?i)script') THEN 'script' WHEN regexp_matches(html, '(?i)error|fail') THEN 'error' WHEN regexp_matches(html, '(?i)login') THEN 'login' ELSE 'none' END AS kind FROM {pages}) t GROUP BY bucket, ext, kind""",
+)
+sql_query(
+    "q39_filetime",
+    """SELECT o_orderkey, ft, date_format(timestamp_micros(ft div 10 - 11644473600000000), 'yyyy-MM-dd HH:mm') AS stamp, concat('Heisei ', year(o_orderdate) - 1988, '.', month(o_orderdate), '.', day(o_orderdate)) AS era FROM
+    (SELECT o_orderkey, o_orderdate, (unix_micros(CAST(o_orderdate AS TIMESTAMP)) + 11644473600000000) * 10 AS ft FROM {orders}) t""",
+    """SELECT o_orderkey, ft, strftime(make_timestamp(ft // 10 - 11644473600000000), '%Y-%m-%d %H:%M') AS stamp, concat('Heisei ', year(o_orderdate) - 1988, '.', month(o_orderdate), '.', day(o_orderdate)) AS era FROM
+    (SELECT o_orderkey, o_orderdate, (epoch_us(o_orderdate) + 11644473600000000) * 10 AS ft FROM {orders}) t""",
+)
+sql_query(
+    "q40_style_decode",
+    """SELECT p_partkey, on_flag, bold, size_pt, concat('#', lower(lpad(hex(raw & 255), 2, '0')), lower(lpad(hex(shiftright(raw, 8) & 255), 2, '0')), lower(lpad(hex(shiftright(raw, 16) & 255), 2, '0'))) AS color FROM
+    (SELECT p_partkey, (raw & 4) <> 0 AS on_flag, (raw & 4) <> 0 AND (shiftright(raw, 3) & 3) IN (1, 2) AS bold, raw, CAST(least(999.0D, greatest(1.0D, round(p_size * 17.0D / 35.2778D * 2) / 2)) AS DOUBLE) AS size_pt FROM (SELECT p_partkey, p_size, (p_partkey * 7919) % 16777216 AS raw FROM {part}) s) t""",
+    """SELECT p_partkey, on_flag, bold, size_pt, concat('#', printf('%02x', raw & 255), printf('%02x', (raw >> 8) & 255), printf('%02x', (raw >> 16) & 255)) AS color FROM
+    (SELECT p_partkey, (raw & 4) <> 0 AS on_flag, (raw & 4) <> 0 AND ((raw >> 3) & 3) IN (1, 2) AS bold, raw, CAST(least(999.0, greatest(1.0, round(CAST(p_size AS DOUBLE) * 17.0 / 35.2778 * 2) / 2)) AS DOUBLE) AS size_pt FROM (SELECT p_partkey, p_size, (p_partkey * 7919) % 16777216 AS raw FROM {part}) s) t""",
+)
+sql_query(
+    "q41_shade",
+    """SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 100 THEN 255 - ((255 - v) * p_size + 50) div 100 END AS shade, CASE p_size % 4 WHEN 0 THEN p_size * 0.5D WHEN 1 THEN p_size * 2.0D WHEN 2 THEN p_size / 4.0D ELSE NULL END AS feed_pt FROM (SELECT p_partkey, p_size, p_partkey % 256 AS v FROM {part}) t""",
+    """SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 100 THEN 255 - ((255 - v) * p_size + 50) // 100 END AS shade, CASE p_size % 4 WHEN 0 THEN CAST(p_size * 0.5 AS DOUBLE) WHEN 1 THEN CAST(p_size * 2.0 AS DOUBLE) WHEN 2 THEN CAST(p_size / 4.0 AS DOUBLE) ELSE NULL END AS feed_pt FROM (SELECT p_partkey, p_size, p_partkey % 256 AS v FROM {part}) t""",
+)
+
+
+@query()
+def q46_normalised(spark, sf_dir):
+    """Visible characters in NFKC form: white space and box-drawing characters dropped; NFKC is in neither SQL engine."""
+    @F.pandas_udf("string")
+    def nfkc(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else "".join(unicodedata.normalize("NFKC", c) for c in t))
+
+    bare = F.regexp_replace("text", "[\\s\\u3000\\u2500-\\u257F]", "")
+    return table(spark, sf_dir, "documents").select("doc_id", nfkc(bare).alias("t")).select("doc_id", F.length("t").cast("bigint").alias("n_visible"), F.md5("t").alias("digest"))
+
+
+sql_query(
+    "q48_face_class",
+    """SELECT p_partkey, CASE WHEN contains(lower(p_type), 'brass') THEN 'gothic' WHEN contains(lower(p_type), 'steel') THEN 'mincho' WHEN contains(lower(p_type), 'tin') THEN 'mono' ELSE 'base' END AS face FROM {part}""",
+)
