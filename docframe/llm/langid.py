@@ -131,12 +131,10 @@ def score_batch(batch: pa.RecordBatch, model: dict) -> tuple[np.ndarray, np.ndar
         here = some[at[some] < len(g)]
         if not len(here):
             continue
-        g, last = np.where(ok, g, BUCKETS), len(g)
+        g = np.where(ok, g, BUCKETS)
         for k in range(langs):
             weight = np.append(model["logp"][k], np.float32(0))
-            got = np.add.reduceat(weight[g].astype(np.float64), at[here])
-            total[here, k] += got
-        assert last
+            total[here, k] += np.add.reduceat(weight[g].astype(np.float64), at[here])
     total -= total.max(axis=1, keepdims=True)
     share = np.exp(total)
     share /= share.sum(axis=1, keepdims=True)
