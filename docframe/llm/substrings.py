@@ -127,13 +127,13 @@ def _anchors(data: np.ndarray, ends: np.ndarray, length: int):
 
 
 def _scan(length: int, table):
-    """The hashes h of all anchors; with a table, rows (h, c, doc_id, t1, t2, s, e) of those whose hash is in it."""
+    """The hashes h of all anchors; with a table, rows (h, c, doc_id, t, s, e) of those whose hash is in it."""
 
     def run(batches):
         bits = np.frombuffer(table.value, np.uint8) if table is not None else None
         for batch in batches:
             for part in K.slices(batch):
-                data, at = K.text_buffers(part.column(3))
+                data, at = K.text_buffers(part.column(2))
                 for rows, offset, text, ends in _parts(data, at, length):
                     doc, _, first, last, h, context = _anchors(text, ends, length)
                     if bits is not None:
@@ -146,8 +146,8 @@ def _scan(length: int, table):
                     own = pa.array(rows[doc])
                     columns = [pa.array(h.view(np.int64))]
                     if bits is not None:
-                        columns += [pa.array(context.view(np.int64))] + [part.column(k).take(own) for k in range(3)] + [pa.array(first + move), pa.array(last + move)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["h", "c", "doc_id", "t1", "t2", "s", "e"][: len(columns)])
+                        columns += [pa.array(context.view(np.int64))] + [part.column(k).take(own) for k in range(2)] + [pa.array(first + move), pa.array(last + move)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["h", "c", "doc_id", "t", "s", "e"][: len(columns)])
 
     return run
 
@@ -240,57 +240,62 @@ def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[np.concatenate(([0], cut + 1))], places[np.append(cut, len(places) - 1)]
 
 
-_FOUND = "t1 long, t2 long, s long, e long"
+#: A run of window starts from s to e is one number.
+PACK = 1 << 20
 
 
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["t1", "t2", "s", "e"])
+def _found(rows: list[tuple], kind) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["doc_id", "t", "run"])
 
 
 def _transform(length: int):
-    """Repeated window starts of single contexts, from rows (h, n, t1, t2, s, context) sorted by h."""
+    """Runs of repeated window starts of single contexts, from rows (h, n, doc_id, t, s, context) sorted by h."""
 
-    def block(rows):
+    def block(rows, kind):
         out = []
-        for (_, n, t1, t2, s, _), places in zip(rows, repeated_starts([r[5] for r in rows], length)):
+        for (_, n, doc_id, t, s, _), places in zip(rows, repeated_starts([r[5] for r in rows], length)):
             if n == 1:
-                out += [(t1, t2, s + int(a), s + int(b)) for a, b in zip(*_runs(places))]
-        return _found(out)
+                out += [(doc_id, t, (s + int(a)) * PACK + int(b - a)) for a, b in zip(*_runs(places))]
+        return _found(out, kind)
 
     def run(batches):
-        held, size, now = [], 0, None
+        held, size, now, kind = [], 0, None, None
         for batch in batches:
+            kind = batch.schema.field(2).type
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if size >= BLOCK and row[0] != now:
-                    yield block(held)
+                    yield block(held, kind)
                     held, size = [], 0
                 held.append(row)
                 size, now = size + len(row[5]), row[0]
         if held:
-            yield block(held)
+            yield block(held, kind)
 
     return run
 
 
 def _cut(length: int, whole: bool):
-    """From rows (text, places): the contexts, or the windows of contexts as two hashes."""
+    """From rows (text, places, doc_id, t): the contexts, or the windows of contexts as two hashes."""
 
     def run(batches):
         for batch in batches:
-            for text, places, t1, t2 in zip(*(c.to_pylist() for c in batch.columns)):
+            kind = batch.schema.field(2).type
+            for text, places, doc_id, t in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode()
                 if whole:
-                    rows = [(p["h"], p["n"], t1, t2, p["s"], data[p["s"] : p["e"] + length]) for p in places]
-                    yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(5)), pa.array([r[5] for r in rows], pa.binary())], names=["h", "n", "t1", "t2", "s", "context"])
+                    n = len(places)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array([p[k] for p in places], pa.int64()) for k in ("h", "n")), pa.array([doc_id] * n, kind), pa.array([t] * n, pa.int64()), pa.array([p["s"] for p in places], pa.int64()), pa.array([data[p["s"] : p["e"] + length] for p in places], pa.binary())],
+                        names=["h", "n", "doc_id", "t", "s", "context"],
+                    )
                     continue
                 for p in places:
                     part = np.frombuffer(data[p["s"] : p["e"] + length], np.uint8)
                     start = np.arange(p["e"] - p["s"] + 1)
-                    hash_of = _Hasher(part)
-                    one = hash_of(start, start + length, 1).view(np.int64)
-                    two = _Hasher(part[::-1])(len(part) - start - length, len(part) - start, 2).view(np.int64)
                     n = len(start)
-                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array([p["n"]] * n, pa.int64()), pa.array([t1] * n, pa.int64()), pa.array([t2] * n, pa.int64()), pa.array(start + p["s"])], names=["w1", "w2", "n", "t1", "t2", "s"])
+                    one = _Hasher(part)(start, start + length, 1).view(np.int64)
+                    two = _Hasher(part[::-1])(len(part) - start - length, len(part) - start, 2).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array([p["n"]] * n, pa.int64()), pa.array([doc_id] * n, kind), pa.array([t] * n, pa.int64()), pa.array((start + p["s"]) * PACK)], names=["w1", "w2", "n", "doc_id", "t", "run"])
 
     return run
 
@@ -306,36 +311,36 @@ def _table(hashes: DataFrame) -> bytes:
 
 
 def repeated_windows(keyed: DataFrame, length: int = LENGTH, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
-    """t1, t2, s, e: runs of window starts of a text that also start elsewhere; keyed: doc_id, t1, t2, text.
+    """doc_id, t, run: runs of window starts that also start elsewhere, packed; keyed: doc_id, t, text.
 
-    doc_id is not null; t1 and t2 are hashes of the text.
+    doc_id is not null; t is a hash of the text, so that rows which share a doc_id are told apart.
     """
     spark = keyed.sparkSession
     ship(spark)
     scan = keyed.mapInArrow(_scan(length, None), "h long")
-    twice = durable(scan.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    table = spark.sparkContext.broadcast(_table(twice))
+    table = spark.sparkContext.broadcast(_table(scan.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")))
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    hits = durable(keyed.mapInArrow(_scan(length, table), f"h long, c long, doc_id {kind}, t1 long, t2 long, s long, e long").join(twice, "h"))
+    # Anchors that occur once and meet another's bit pass here and are dropped with `several` below.
+    hits = durable(keyed.mapInArrow(_scan(length, table), f"h long, c long, doc_id {kind}, t long, s long, e long"))
 
-    contexts = hits.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t1", "t2", "s", "e")).alias("at"))
-    contexts = durable(contexts)
-    plain = hits.join(contexts.where("n > 1").select("h", "c"), ["h", "c"]).select("t1", "t2", "s", "e").distinct()
+    contexts = durable(hits.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t", "s", "e")).alias("at")))
+    packed = (F.col("s") * PACK + F.col("e") - F.col("s")).alias("run")
+    plain = hits.join(contexts.where("n > 1").select("h", "c"), ["h", "c"]).select("doc_id", "t", packed)
     several = contexts.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("h", "kinds")
     open_ones = durable(contexts.join(several, "h").select("h", "n", "kinds", "at.*"))
 
     def read(rows):
-        places = rows.groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("h", "n", "s", "e")).alias("places"))
-        return keyed.join(places, ["doc_id", "t1", "t2"]).select("text", "places", "t1", "t2")
+        places = rows.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "n", "s", "e")).alias("places"))
+        return keyed.join(places, ["doc_id", "t"]).select("text", "places", "doc_id", "t")
 
-    cut = read(open_ones.where(F.col("kinds") <= max_contexts)).mapInArrow(_cut(length, True), "h long, n long, t1 long, t2 long, s long, context binary")
-    found = cut.repartition("h").sortWithinPartitions("h").mapInArrow(_transform(length), _FOUND)
+    cut = read(open_ones.where(F.col("kinds") <= max_contexts)).mapInArrow(_cut(length, True), f"h long, n long, doc_id {kind}, t long, s long, context binary")
+    found = cut.repartition("h").sortWithinPartitions("h").mapInArrow(_transform(length), f"doc_id {kind}, t long, run long")
     out = plain.unionByName(found)
     large = open_ones.where(F.col("kinds") > max_contexts)
     if not large.isEmpty():
-        windows = durable(read(large).mapInArrow(_cut(length, False), "w1 long, w2 long, n long, t1 long, t2 long, s long"))
+        windows = durable(read(large).mapInArrow(_cut(length, False), f"w1 long, w2 long, n long, doc_id {kind}, t long, run long"))
         again = windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2")
-        out = out.unionByName(windows.where("n = 1").join(again, ["w1", "w2"]).select("t1", "t2", "s", F.col("s").alias("e")))
+        out = out.unionByName(windows.where("n = 1").join(again, ["w1", "w2"]).select("doc_id", "t", "run"))
     return out
 
 
@@ -346,7 +351,7 @@ def _removed(length: int):
             for doc_id, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
                 data = (text or "").encode()
                 spans: list[list[int]] = []
-                for s, e in sorted((r["s"], r["e"] + length) for r in runs or ()):
+                for s, e in sorted((r // PACK, r // PACK + r % PACK + length) for r in runs or ()):
                     if spans and s <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], e)
                     else:
@@ -367,7 +372,8 @@ def _removed(length: int):
 def deduplicated(docs: DataFrame, length: int = LENGTH, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(77)).alias("t2"), "text")
-    some = keyed.where("text is not null").withColumn("doc_id", F.coalesce("doc_id", F.lit(-1 << 63)) if kind == "bigint" else F.col("doc_id"))
-    found = repeated_windows(some, length, max_contexts).groupBy("t1", "t2").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
-    return keyed.join(found, ["t1", "t2"], "left").select("doc_id", "text", "runs").mapInArrow(_removed(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    own = F.coalesce("doc_id", F.lit(-1 << 63)) if kind == "bigint" else F.coalesce("doc_id", F.lit(0).cast(kind))
+    keyed = docs.select("doc_id", own.alias("_id"), F.xxhash64("text").alias("t"), "text")
+    some = keyed.where("text is not null").select(F.col("_id").alias("doc_id"), "t", "text")
+    found = repeated_windows(some, length, max_contexts).groupBy(F.col("doc_id").alias("_id"), "t").agg(F.collect_set("run").alias("runs"))
+    return keyed.join(found, ["_id", "t"], "left").select("doc_id", "text", "runs").mapInArrow(_removed(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
