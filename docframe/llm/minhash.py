@@ -279,8 +279,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "slot", "block", "node", "component", "sig", "sketch")
         across = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(sketch_limit(percent), nearest), "u long, v long").distinct()
         across = durable(across.join(tested, ["u", "v"], "left_anti"))
-        if across.isEmpty():
-            break
+        if across.isEmpty():  # of the nearest only; others may be untested still
+            continue
         new = durable(confirmed(across))
         tested = tested.unionByName(across)
         if not new.isEmpty():
