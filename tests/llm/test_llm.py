@@ -429,3 +429,19 @@ def test_pipeline(spark):
         assert 0.5 * n <= left.count() <= n, k
     out = corpus_pipeline.STAGES[-1][1](spark, left, SMALL)
     assert out.count() == left.count() and "decoded" in out.columns
+
+
+def test_near_duplicates_after_tested_nearest(spark, monkeypatch):
+    """Every nearest pair may have failed as a star; the others are compared all the same."""
+    whole = minhash._across
+    monkeypatch.setattr(minhash, "_across", lambda limit, nearest: (lambda batches: iter(())) if nearest else whole(limit, nearest))
+    rnd = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base)]
+    for _ in range(30):
+        copy = list(base)
+        for _ in range(rnd.randrange(1, 6)):
+            copy[rnd.randrange(60)] = f"x{rnd.randrange(1000)}"
+        texts.append(" ".join(copy))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, texts), 3, 85).collect()}
+    assert [got[k] for k in range(len(texts))] == components_by_force(sets_of(texts, 3), 85)
