@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from functools import lru_cache
 from itertools import groupby
 
 import pyarrow as pa
@@ -35,10 +36,20 @@ _HEADER = re.compile(r"<s>\[ROLE\] (.*?) \[/ROLE\]\n", re.S)
 
 
 def escape(text: str) -> str:
-    """Double each backslash and put one after the first character of each control string."""
+    """Double each backslash and put one after the first character of each control string.
+
+    Successive prefixes render the same texts again, so short ones are remembered, a fixed number of them.
+    """
+    return _remembered(text) if len(text) <= 4096 else _escape(text)
+
+
+def _escape(text: str) -> str:
     return _SPECIAL.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
 
 
+_remembered = lru_cache(maxsize=2048)(_escape)
+
+
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
