@@ -4,8 +4,11 @@ Texts are cut into tokens (runs of letters, digits, signs of numbers). A token b
 number, a unit, or a name (a capitalised word inside a sentence); other tokens are lower-cased. Windows of WINDOW
 consecutive tokens are hashed and joined with those of the benchmark items, so a question whose numbers, names or units
 were changed still matches. A document is reported for an item if enough different windows match and the slots agree:
-over all matched windows, one value in the item always stands for one value in the document (re-parameterised
-questions change a value everywhere; unrelated texts that share a frame do not).
+within one occurrence, one value in the item always stands for one value in the document (re-parameterised questions
+change a value everywhere; unrelated texts that share a frame do not). Occurrences are told apart by the distance between
+a window's place in the document and in the item: each distance, each run of distances that differ by MAX_SHIFT at most
+(values of another number of words) and the whole document (a copy in pieces) are judged by themselves, and one that
+agrees is enough. So are enough windows whose slots all have the item's own values.
 
 Scale: the document side is never shuffled for the search if the benchmark's windows fit MAX_BROADCAST (counted first);
 beyond that the join is a shuffle join on window hashes whose skew Spark splits. Matched windows alone are aggregated,
@@ -30,9 +33,14 @@ MIN_WINDOW = 5
 MIN_LITERAL = 4
 #: Different item windows that a document shares at least, and as a share of the item's windows.
 MIN_MATCHES, MIN_SHARE = 3, 0.05
+#: Tokens that a changed value may have more or less, for windows around it to count as one occurrence.
+MAX_SHIFT = 2
+#: Slots that agree at least.
+MIN_SAME = 0.8
 #: Benchmark windows that are broadcast at most; about 40 bytes each.
 MAX_BROADCAST = 500_000
 # Units of measure.
+SLOTS = ("<num>", "<name>", "<unit>")
 UNITS = "mm|cm|m|km|mg|g|kg|t|ml|cl|l|s|sec|secs|second|seconds|min|mins|minute|minutes|h|hr|hrs|hour|hours|day|days|week|weeks|month|months|year|years|inch|inches|ft|foot|feet|yard|yards|mile|miles|mph|kph|kmh|meter|meters|metre|metres|kilometer|kilometers|kilometre|kilometres|gram|grams|kilogram|kilograms|liter|liters|litre|litres|dollar|dollars|cent|cents|euro|euros|pound|pounds|percent|usd|eur|gbp|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|mw|v|a|ohm|ohms|pa|kpa|bar|celsius|fahrenheit|kelvin|degree|degrees"
 
 
@@ -62,7 +70,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
     t = benchmark.select("item_id", tokens(F.col("text")).alias("t")).withColumn("n", F.least(F.size("t"), F.lit(WINDOW))).where(F.col("n") >= MIN_WINDOW)
     t = t.withColumn("f", F.transform("t", template)).withColumn("p", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1)))
     part = F.slice("f", F.col("p"), F.col("n"))
-    slots = F.size(F.filter(part, lambda x: x.isin("<num>", "<name>", "<unit>")))
+    slots = F.size(F.filter(part, lambda x: x.isin(*SLOTS)))
     kept = t.select("item_id", "n", "p", F.xxhash64(part).alias("h"), F.slice("t", F.col("p"), F.col("n")).alias("raw"), slots.alias("slots")).where(F.col("n") - F.col("slots") >= MIN_LITERAL)
     return kept.withColumn("size", F.count("*").over(Window.partitionBy("item_id")))
 
@@ -85,29 +93,48 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = [_windows(text, "doc_id", n).select("doc_id", F.posexplode_outer("h").alias("q", "h")).join(small(flags), "h") for n in sorted(lengths)]
     hits = durable(reduce(DataFrame.unionByName, found))
     pairs = hits.select("doc_id", "h").distinct().join(small(items), "h").groupBy("doc_id", "item_id").agg(F.countDistinct("p").alias("n_windows"), F.max("size").alias("size"))
-    enough = pairs.where((F.col("n_windows") >= F.least(F.lit(MIN_MATCHES), F.col("size"))) & (F.col("n_windows") >= MIN_SHARE * F.col("size")))
+    enough = pairs.where(_enough(F.col("n_windows"), F.col("size")))
     slotted = hits.where("slots > 0")
     if slotted.isEmpty():
         agreed = enough.withColumn("n_changed", F.lit(0))
     else:
-        agreed = enough.join(_slots(docs, slotted, small(items)), ["doc_id", "item_id"], "left").where("n_slots is null or n_same >= 0.8 * n_slots")
+        agreed = enough.join(_slots(docs, hits, slotted, small(items)), ["doc_id", "item_id"], "left").where("coalesce(agrees, true)")
     return agreed.select("doc_id", "item_id", "n_windows", (F.col("n_windows") / F.col("size")).alias("share"), F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"))
 
 
-def _slots(docs: DataFrame, hits: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_slots, n_same, n_changed: whether each value of the item stands for one value of the document.
+def _enough(n: F.Column, size: F.Column) -> F.Column:
+    return (n >= F.least(F.lit(MIN_MATCHES), size)) & (n >= MIN_SHARE * size)
 
-    Only the documents with a match in a window that has slots are read again.
+
+def _slots(docs: DataFrame, hits: DataFrame, slotted: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, agrees, n_changed: whether each value of the item stands for one value of the document in one occurrence.
+
+    n_changed is that of the occurrence with most windows that agrees. Only the documents with a match in a window that
+    has slots are read again.
     """
-    places = hits.groupBy("doc_id").agg(F.collect_set(F.struct("q", "h")).alias("at"))
-    raw = docs.where("text is not null").select("doc_id", "text").join(places, "doc_id").select("doc_id", "at", tokens(F.col("text")).alias("t")).withColumn("n", F.size("t"))
-    own = raw.select("doc_id", "n", F.explode_outer(F.transform("at", lambda x: F.struct(x["h"].alias("h"), F.slice("t", x["q"] + 1, WINDOW).alias("mine")))).alias("x"))
-    pairs = own.select("doc_id", F.col("x.h").alias("h"), F.col("x.mine").alias("mine")).join(items, "h")
-    zipped = F.explode_outer(F.arrays_zip(F.col("raw").alias("theirs"), F.slice("mine", F.lit(1), F.size("raw")).alias("ours")))
-    values = pairs.select("doc_id", "item_id", zipped.alias("z")).select("doc_id", "item_id", F.col("z.theirs").alias("a"), F.col("z.ours").alias("b"))
-    values = values.where(template(F.col("a")).isin("<num>", "<name>", "<unit>")).groupBy("doc_id", "item_id", "a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
+    places = hits.join(slotted.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("q", "h")).alias("at"))
+    raw = docs.where("text is not null").select("doc_id", "text").join(places, "doc_id").select("doc_id", "at", tokens(F.col("text")).alias("t"))
+    own = raw.select("doc_id", F.explode_outer(F.transform("at", lambda x: F.struct(x["q"].alias("q"), x["h"].alias("h"), F.slice("t", x["q"] + 1, WINDOW).alias("mine")))).alias("x"))
+    pairs = own.select("doc_id", "x.*").join(items, "h").withColumn("mine", F.slice("mine", F.lit(1), F.size("raw")))
+    # Rows that share a doc_id have the places of all of them.
+    pairs = pairs.where(F.xxhash64(F.transform("mine", template)) == F.col("h"))
+    zipped = F.filter(F.arrays_zip(F.col("raw").alias("a"), F.col("mine").alias("b")), lambda z: template(z["a"]).isin(*SLOTS))
+    pairs = pairs.select("doc_id", "item_id", "p", "size", (F.col("q") - F.col("p")).alias("d"), zipped.alias("z"))
+    along = Window.partitionBy("doc_id", "item_id").orderBy("d")
+    pairs = pairs.withColumn("far", (F.col("d") - F.lag("d").over(along) > MAX_SHIFT).cast("int")).withColumn("band", F.coalesce(F.sum("far").over(along), F.lit(0)))
+    group = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("long").alias("value"))
+    plain = F.forall("z", lambda z: z["a"] == z["b"])
+    groups = F.array(group("all", F.lit(0)), group("band", F.col("band")), group("distance", F.col("d")), F.when(plain, group("plain", F.lit(0))))
+    pairs = pairs.select("doc_id", "item_id", "p", "size", "z", F.explode(groups).alias("g")).where("g is not null")
+    keys = ["doc_id", "item_id", "g"]
+    counts = pairs.groupBy(*keys).agg(F.countDistinct("p").alias("n"), F.max("size").alias("size"))
+    values = pairs.select(*keys, F.explode("z").alias("z")).groupBy(*keys, F.col("z.a").alias("a")).agg(F.min("z.b").alias("lo"), F.max("z.b").alias("hi"))
     same = F.col("lo") == F.col("hi")
-    return values.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.count_if(same).alias("n_same"), F.count_if(same & (F.col("lo") != F.col("a"))).alias("n_changed"))
+    values = values.groupBy(*keys).agg(F.count("*").alias("n_slots"), F.count_if(same).alias("n_same"), F.count_if(same & (F.col("lo") != F.col("a"))).alias("n_changed"))
+    judged = counts.join(values, keys, "left").withColumn("n_changed", F.coalesce("n_changed", F.lit(0)))
+    agrees = _enough(F.col("n"), F.col("size")) & F.coalesce(F.col("n_same") >= MIN_SAME * F.col("n_slots"), F.lit(True))
+    best = F.max(F.when(agrees, F.struct("n", (-F.col("n_changed")).alias("less"))))
+    return judged.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", F.col("best").isNotNull().alias("agrees"), (-F.col("best.less")).alias("n_changed"))
 
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

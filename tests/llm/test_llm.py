@@ -200,6 +200,19 @@ def test_decontamination(spark):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    """A copy beside variants of it, variants beside each other, a repeated frame, rows that share a doc_id."""
+    other = ITEM.replace("Bob", "Zoe").replace("12", "99").replace("5 kg", "7 miles").replace("Mary", "Ann")
+    third = ITEM.replace("Bob", "Kim").replace("12", "31").replace("5 kg", "8 tons").replace("Mary", "Sue").replace("3 days", "9 weeks")
+    frame = "On Monday the shop in Paris sold 12 boxes of green apples for 4 dollars, on Tuesday the shop in London sold 30 boxes of green apples for 7 dollars"
+    longer = frame.replace("Paris", "New York").replace("12", "17")
+    docs = spark.createDataFrame([(0, f"{ITEM}. {other}."), (1, f"{other}. Well, {third}. {ITEM}."), (2, f"Well. {frame}."), (3, f"{other}. {third}."), (4, ITEM), (4, f"So it is that we say: {other}."), (5, longer)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, ITEM), (8, frame)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_changed"] for r in decontaminate.matches(docs, bench).collect()}
+    assert set(got) == {(0, 7), (1, 7), (2, 8), (3, 7), (4, 7), (5, 8)}
+    assert got[0, 7] == got[2, 8] == 0 and got[3, 7] >= 3
+
+
 def test_decontamination_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
     docs, bench = docs_of(spark, [ITEM, "no"]), spark.createDataFrame([(7, ITEM)], "item_id long, text string")
