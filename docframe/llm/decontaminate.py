@@ -8,14 +8,17 @@ within one occurrence, one value in the item always stands for one value in the
 change a value everywhere; unrelated texts that share a frame do not). Occurrences are told apart by the distance between
 a window's place in the document and in the item: each distance, each run of distances that differ by MAX_SHIFT at most
 (values of another number of words) and the whole document (a copy in pieces) are judged by themselves, and one that
-agrees is enough. So are enough windows whose slots all have the item's own values.
+agrees is enough. So are enough windows whose slots all have the item's own values. Windows of the item with too few
+literals, or too short, for a template are looked for as they are, letter case aside, and count among the latter.
+Writing without blanks between words (Chinese, Japanese, Thai, Lao, Khmer, Burmese) is cut into characters.
 
 Scale: the document side is never shuffled for the search if the benchmark's windows fit MAX_BROADCAST (counted first);
 beyond that the join is a shuffle join on window hashes whose skew Spark splits. Matched windows alone are aggregated,
 and slots are read again only from documents that match.
 
-Defined cases: null texts and texts with fewer tokens than WINDOW match nothing; items shorter than WINDOW are matched
-by their whole length down to MIN_WINDOW tokens and else not at all; repeated rows and repeated items are treated one by
+Defined cases: null texts and items without a letter or digit match nothing; items shorter than WINDOW are matched by
+their whole length, as templates down to MIN_WINDOW tokens and else as they are, so that an item of one word is found in
+every text that holds this word; repeated rows and repeated items are treated one by
 one under their ids (rows that share a doc_id are taken together); an empty table gives no rows.
 """
 
@@ -29,7 +32,7 @@ from docframe.cluster import durable
 
 WINDOW = 8
 MIN_WINDOW = 5
-#: Tokens of a window that aren't placeholders, at least.
+#: Tokens of a template that aren't placeholders, at least.
 MIN_LITERAL = 4
 #: Different item windows that a document shares at least, and as a share of the item's windows.
 MIN_MATCHES, MIN_SHARE = 3, 0.05
@@ -44,8 +47,13 @@ SLOTS = ("<num>", "<name>", "<unit>")
 UNITS = "mm|cm|m|km|mg|g|kg|t|ml|cl|l|s|sec|secs|second|seconds|min|mins|minute|minutes|h|hr|hrs|hour|hours|day|days|week|weeks|month|months|year|years|inch|inches|ft|foot|feet|yard|yards|mile|miles|mph|kph|kmh|meter|meters|metre|metres|kilometer|kilometers|kilometre|kilometres|gram|grams|kilogram|kilograms|liter|liters|litre|litres|dollar|dollars|cent|cents|euro|euros|pound|pounds|percent|usd|eur|gbp|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|mw|v|a|ohm|ohms|pa|kpa|bar|celsius|fahrenheit|kelvin|degree|degrees"
 
 
+# Scripts without blanks between words.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}&&[\p{L}\p{N}]]"
+
+
 def tokens(text) -> F.Column:
     """Array of raw tokens; a name inside a sentence is marked by a leading `^`."""
+    text = F.when(text.rlike(_UNSPACED), F.regexp_replace(text, rf"({_UNSPACED}\p{{M}}*)", " $1 ")).otherwise(text)
     # A capital after a lower-case letter, digit or comma and one blank starts a name.
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})", "^")
     return F.filter(F.split(marked, r"[^\p{L}\p{N}\p{M}^.]+|\.(?!\p{N})|(?<!\p{N})\."), lambda x: x != "")
@@ -58,21 +66,34 @@ def template(token) -> F.Column:
     return F.when(token.startswith("^"), F.lit("<name>")).when(number, F.lit("<num>")).when(units, F.lit("<unit>")).otherwise(F.lower(token))
 
 
-def _windows(rows: DataFrame, key: str, n: int) -> DataFrame:
+def _loose(part) -> F.Column:
+    """The hash of a window of raw tokens as a template."""
+    return F.xxhash64(F.transform(part, template))
+
+
+def _exact(part) -> F.Column:
+    """The hash of a window of raw tokens as it is, letter case and marks of names aside."""
+    return F.xxhash64(F.lit("="), F.transform(part, lambda x: F.lower(F.ltrim(x, F.lit("^")))))
+
+
+def _windows(rows: DataFrame, key: str, n: int, loose: bool) -> DataFrame:
     """key, h: the hashes of all windows of n tokens of column `t`, in order; null if there are fewer tokens."""
-    rows = rows.select(key, F.transform("t", template).alias("f"))
-    whole = F.transform(F.sequence(F.lit(1), F.size("f") - (n - 1)), lambda i: F.xxhash64(F.slice("f", i, n)))
+    form = template if loose else lambda x: F.lower(F.ltrim(x, F.lit("^")))
+    rows = rows.select(key, F.transform("t", form).alias("f"))
+    hashed = (lambda x: F.xxhash64(x)) if loose else lambda x: F.xxhash64(F.lit("="), x)
+    whole = F.transform(F.sequence(F.lit(1), F.size("f") - (n - 1)), lambda i: hashed(F.slice("f", i, n)))
     return rows.select(key, F.when(F.size("f") >= n, whole).alias("h"))
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, n (window length), p, h, size: the windows of the items that have enough literals."""
-    t = benchmark.select("item_id", tokens(F.col("text")).alias("t")).withColumn("n", F.least(F.size("t"), F.lit(WINDOW))).where(F.col("n") >= MIN_WINDOW)
-    t = t.withColumn("f", F.transform("t", template)).withColumn("p", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1)))
-    part = F.slice("f", F.col("p"), F.col("n"))
-    slots = F.size(F.filter(part, lambda x: x.isin(*SLOTS)))
-    kept = t.select("item_id", "n", "p", F.xxhash64(part).alias("h"), F.slice("t", F.col("p"), F.col("n")).alias("raw"), slots.alias("slots")).where(F.col("n") - F.col("slots") >= MIN_LITERAL)
-    return kept.withColumn("size", F.count("*").over(Window.partitionBy("item_id")))
+    """item_id, n (window length), p, loose, h, raw, slots, size, loose_size: the windows of the items; loose: as templates."""
+    t = benchmark.select("item_id", tokens(F.col("text")).alias("t")).withColumn("n", F.least(F.size("t"), F.lit(WINDOW))).where(F.col("n") >= 1)
+    t = t.withColumn("p", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1))).select("item_id", "n", "p", F.slice("t", F.col("p"), F.col("n")).alias("raw"))
+    t = t.withColumn("slots", F.size(F.filter("raw", lambda x: template(x).isin(*SLOTS))))
+    t = t.withColumn("loose", (F.col("n") >= MIN_WINDOW) & (F.col("n") - F.col("slots") >= MIN_LITERAL))
+    t = t.withColumn("h", F.when(F.col("loose"), _loose("raw")).otherwise(_exact("raw"))).withColumn("slots", F.when(F.col("loose"), F.col("slots")).otherwise(0))
+    own = Window.partitionBy("item_id")
+    return t.withColumn("size", F.count("*").over(own)).withColumn("loose_size", F.count_if("loose").over(own))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -82,7 +103,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     in the document is another than in the item (0: a plain copy).
     """
     items = durable(_items(benchmark))
-    lengths = {r["n"]: r["count"] for r in items.groupBy("n").count().collect()}
+    lengths = {(r["n"], r["loose"]): r["count"] for r in items.groupBy("n", "loose").count().collect()}
     small = F.broadcast if sum(lengths.values()) <= MAX_BROADCAST else lambda df: df
     text = docs.where("doc_id is not null and text is not null").select("doc_id", tokens(F.col("text")).alias("t"))
     flags = items.groupBy("h").agg(F.max("slots").alias("slots"))
@@ -90,10 +111,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not lengths:
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {other}, n_windows long, share double, n_changed long")
     # posexplode_outer: with posexplode, Spark adds a filter that computes all windows once more.
-    found = [_windows(text, "doc_id", n).select("doc_id", F.posexplode_outer("h").alias("q", "h")).join(small(flags), "h") for n in sorted(lengths)]
+    found = [_windows(text, "doc_id", n, loose).select("doc_id", F.posexplode_outer("h").alias("q", "h")).join(small(flags), "h") for n, loose in sorted(lengths)]
     hits = durable(reduce(DataFrame.unionByName, found))
-    pairs = hits.select("doc_id", "h").distinct().join(small(items), "h").groupBy("doc_id", "item_id").agg(F.countDistinct("p").alias("n_windows"), F.max("size").alias("size"))
-    enough = pairs.where(_enough(F.col("n_windows"), F.col("size")))
+    pairs = hits.select("doc_id", "h").distinct().join(small(items), "h").groupBy("doc_id", "item_id").agg(F.countDistinct("p").alias("n_windows"), F.countDistinct(F.when(F.col("loose"), F.col("p"))).alias("n_loose"), F.max("size").alias("size"), F.max("loose_size").alias("loose_size"))
+    enough = pairs.where(_enough(F.col("n_windows"), F.col("size")) | _enough(F.col("n_loose"), F.col("loose_size")))
     slotted = hits.where("slots > 0")
     if slotted.isEmpty():
         agreed = enough.withColumn("n_changed", F.lit(0))
@@ -103,7 +124,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _enough(n: F.Column, size: F.Column) -> F.Column:
-    return (n >= F.least(F.lit(MIN_MATCHES), size)) & (n >= MIN_SHARE * size)
+    return (n > 0) & (n >= F.least(F.lit(MIN_MATCHES), size)) & (n >= MIN_SHARE * size)
 
 
 def _slots(docs: DataFrame, hits: DataFrame, slotted: DataFrame, items: DataFrame) -> DataFrame:
@@ -117,15 +138,17 @@ def _slots(docs: DataFrame, hits: DataFrame, slotted: DataFrame, items: DataFram
     own = raw.select("doc_id", F.explode_outer(F.transform("at", lambda x: F.struct(x["q"].alias("q"), x["h"].alias("h"), F.slice("t", x["q"] + 1, WINDOW).alias("mine")))).alias("x"))
     pairs = own.select("doc_id", "x.*").join(items, "h").withColumn("mine", F.slice("mine", F.lit(1), F.size("raw")))
     # Rows that share a doc_id have the places of all of them.
-    pairs = pairs.where(F.xxhash64(F.transform("mine", template)) == F.col("h"))
-    zipped = F.filter(F.arrays_zip(F.col("raw").alias("a"), F.col("mine").alias("b")), lambda z: template(z["a"]).isin(*SLOTS))
-    pairs = pairs.select("doc_id", "item_id", "p", "size", (F.col("q") - F.col("p")).alias("d"), zipped.alias("z"))
+    pairs = pairs.where(F.when(F.col("loose"), _loose("mine")).otherwise(_exact("mine")) == F.col("h"))
+    zipped = F.filter(F.arrays_zip(F.col("raw").alias("a"), F.col("mine").alias("b")), lambda z: F.col("loose") & template(z["a"]).isin(*SLOTS))
+    pairs = pairs.select("doc_id", "item_id", "p", "loose", "size", "loose_size", (F.col("q") - F.col("p")).alias("d"), zipped.alias("z"))
     along = Window.partitionBy("doc_id", "item_id").orderBy("d")
     pairs = pairs.withColumn("far", (F.col("d") - F.lag("d").over(along) > MAX_SHIFT).cast("int")).withColumn("band", F.coalesce(F.sum("far").over(along), F.lit(0)))
     group = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("long").alias("value"))
     plain = F.forall("z", lambda z: z["a"] == z["b"])
-    groups = F.array(group("all", F.lit(0)), group("band", F.col("band")), group("distance", F.col("d")), F.when(plain, group("plain", F.lit(0))))
-    pairs = pairs.select("doc_id", "item_id", "p", "size", "z", F.explode(groups).alias("g")).where("g is not null")
+    judged = [F.when(F.col("loose"), group(kind, value)) for kind, value in (("all", F.lit(0)), ("band", F.col("band")), ("distance", F.col("d")))]
+    groups = F.array(*judged, F.when(plain, group("plain", F.lit(0))))
+    pairs = pairs.select("doc_id", "item_id", "p", "size", "loose_size", "z", F.explode(groups).alias("g")).where("g is not null")
+    pairs = pairs.withColumn("size", F.when(F.col("g.kind") == "plain", F.col("size")).otherwise(F.col("loose_size")))
     keys = ["doc_id", "item_id", "g"]
     counts = pairs.groupBy(*keys).agg(F.countDistinct("p").alias("n"), F.max("size").alias("size"))
     values = pairs.select(*keys, F.explode("z").alias("z")).groupBy(*keys, F.col("z.a").alias("a")).agg(F.min("z.b").alias("lo"), F.max("z.b").alias("hi"))

@@ -213,6 +213,18 @@ def test_decontamination_judges_each_occurrence(spark):
     assert got[0, 7] == got[2, 8] == 0 and got[3, 7] >= 3
 
 
+def test_decontamination_of_items_without_templates(spark):
+    """Slot-heavy, short and unspaced items are found as they are, and slot-heavy ones not by their template."""
+    sums, table, short = "Compute 12 + 7 * 3 - 9 / 4 + 15", "3 kg 5 kg 8 kg 13 kg 21 kg 34 kg", "Name the capital"
+    words, thai = "小明有12个苹果，给了小红5个，还剩几个？", "นักเรียนมีแอปเปิลสิบสองผล"
+    mixed = "Which of these numbers is a prime and why is it so 12 15 18 21 24 27 30 33 36 39 42"
+    bench = spark.createDataFrame([(1, sums), (2, table), (3, short), (4, words), (5, thai), (6, mixed), (7, "?!")], "item_id long, text string")
+    changed = words.replace("12", "31").replace("5", "8")
+    texts = [f"So: {sums}.", "Compute 13 + 8 * 4 - 1 / 2 + 16", f"we have {table} here", table.replace("3", "7"), f"well, {short.lower()} of it", f"题目：{words}答案", changed, f"ก {thai}", mixed[-40:], mixed.replace("1", "7"), "?! 中文 other text"]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs_of(spark, texts), bench).collect()}
+    assert got == {(0, 1), (2, 2), (4, 3), (5, 4), (6, 4), (7, 5), (8, 6), (9, 6)}
+
+
 def test_decontamination_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
     docs, bench = docs_of(spark, [ITEM, "no"]), spark.createDataFrame([(7, ITEM)], "item_id long, text string")
