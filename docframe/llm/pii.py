@@ -1,7 +1,7 @@
 """Personal data: base patterns, and disguised ones found on a normalised text with a map back to the source.
 
 A transducer copies the text and rewrites homoglyphs (look-alike letters and digits), spelled digits ("five five",
-"nine dot one"), and at/dot disguises ("name [at] host (dot) org"), keeping for every output character the source span
+"nine dot one"), and at/dot disguises ("name [at] host dot org", each separator a sign, in brackets or a word), keeping for every output character the source span
 that it stands for. The base patterns then run on the output, and what they find is mapped back to source characters.
 Spans of the plain text always stay; a span of the normalised text is added if it overlaps none of the same kind, or is
 larger than those it overlaps and holds them.
@@ -95,9 +95,14 @@ _AT, _DOT = r"at|arroba|ät", r"dot|punkt|point|punto"
 #: At and dot in brackets, or as words of their own between the parts of an address.
 _BRACKET = re.compile(rf"[ \t]?[\[({{<][ \t]?(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))[ \t]?[\])}}>][ \t]?", re.I)
 # Last labels that make "x at y dot z" an address.
-_LAST = "com|org|net|edu|gov|mil|int|info|biz|io|co|uk|us|eu|de|fr|es|it|nl|at|ch|be|pl|se|no|dk|fi|pt|ru|jp|cn|in|br|mx|ca|au|example|test|invalid|local|dev|app|ai|me|xyz|online|site|mail"
-_WORDS = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{{1,64}})( (?:{_AT}) )((?:[A-Za-z0-9-]{{1,63}} (?:{_DOT}) ){{1,4}}(?:{_LAST}))(?![A-Za-z0-9])", re.I)
+_LAST = "com|org|net|edu|gov|mil|int|info|biz|io|co|uk|us|eu|de|fr|es|it|nl|at|ch|be|pl|se|no|dk|fi|pt|ru|jp|cn|in|br|mx|ca|au|example|test|invalid|local|dev|app|ai|me|xyz|online|site|mail|cz|sk|hu|ro|bg|gr|tr|ua|kr|tw|hk|sg|nz|za|ar|cl|ie|lt|lv|ee|si|hr|rs|lu"
+_WORDS = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{{1,64}}(?: (?:{_DOT}) [A-Za-z0-9._%+-]{{1,64}}){{0,4}})(@| (?:{_AT}) )([A-Za-z0-9-]{{1,63}}(?:(?:\.| (?:{_DOT}) )[A-Za-z0-9-]{{1,63}}){{1,8}})(?![A-Za-z0-9-])", re.I)
 _DOT_WORD = re.compile(rf" (?:{_DOT}) ", re.I)
+_DOTS = re.compile(rf"\.| (?:{_DOT}) ", re.I)
+_KNOWN = re.compile(_LAST, re.I)
+_LABEL = re.compile(r"[A-Za-z]{2,63}")
+#: A word for the sign before a host that is written as usual.
+_AT_WORD = re.compile(rf" (?:{_AT}) [A-Za-z0-9-]{{1,63}}\.[A-Za-z]", re.I)
 _GAP = r"[ ,()-]{0,3}"
 #: At least four numbers in words or figures with blanks, hyphens, brackets or spelled signs between them.
 _SPELLED = re.compile(rf"(?<![A-Za-zÀ-ÿ0-9])(?:(?:plus|\+){_GAP})?(?:(?:(?:{_NAMES})(?![A-Za-zÀ-ÿ])|[0-9]{{1,4}}){_GAP}(?:(?:{_DOT}|dash|hyphen|minus)(?![A-Za-zÀ-ÿ]){_GAP})?){{4,40}}", re.I)
@@ -145,6 +150,24 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _address(m: re.Match) -> list[tuple[int, int, str]]:
+    """Edits that turn separators in words into signs, up to the last label that can end the address.
+
+    That is a known one, or any of letters if a separator before it is a sign.
+    """
+    dots = list(_DOTS.finditer(m[3]))
+    ends = [*(d.start() for d in dots[1:]), len(m[3])]
+    for k in reversed(range(len(dots))):
+        label = m[3][dots[k].end() : ends[k]]
+        explicit = m[2] == "@" or any(d[0] == "." for d in dots[: k + 1])
+        if _KNOWN.fullmatch(label) or (explicit and _LABEL.fullmatch(label)):
+            edits = [(m.start(1) + d.start(), m.start(1) + d.end(), ".") for d in _DOT_WORD.finditer(m[1])]
+            if m[2] != "@":
+                edits.append((*m.span(2), "@"))
+            return edits + [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in dots[: k + 1] if d[0] != "."]
+    return []
+
+
 def _mixed(m: re.Match) -> list[tuple[int, int, str]]:
     if len(_DIGIT.findall(m[0])) < 6:
         return []
@@ -154,7 +177,7 @@ def _mixed(m: re.Match) -> list[tuple[int, int, str]]:
 def normalised(text: str) -> Mapped | None:
     """The transducers' output, or None where nothing calls for them."""
     alike = not text.isascii() and _TRIGGER.search(text)
-    spoken = not _HINT_WORDS.isdisjoint(_LETTERS.findall(text.lower())) or _HINT.search(text)
+    spoken = not _HINT_WORDS.isdisjoint(_LETTERS.findall(text.lower())) or _HINT.search(text) or _AT_WORD.search(text)
     mixed = _DIGIT.search(text) and _MIX.search(text)
     if not (alike or spoken or mixed):
         return None
@@ -164,11 +187,7 @@ def normalised(text: str) -> Mapped | None:
     if mixed:
         now = now.replaced([e for m in _MIXED.finditer(now.text) for e in _mixed(m)])
     now = now.replaced([(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKET.finditer(now.text)])
-    edits = []
-    for m in _WORDS.finditer(now.text):
-        edits.append((*m.span(2), "@"))
-        edits += [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in _DOT_WORD.finditer(m[3])]
-    now = now.replaced(edits)
+    now = now.replaced([e for m in _WORDS.finditer(now.text) for e in _address(m)])
     return now.replaced([e for m in _SPELLED.finditer(now.text) for e in _spelled(m)])
 
 

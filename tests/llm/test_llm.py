@@ -292,6 +292,23 @@ def test_pii_disguised(text, kind, span):
     assert [(k, text[a:b]) for k, a, b in every if (k, a, b) not in base] == ([(kind, span)] if kind else [])
 
 
+@pytest.mark.parametrize(
+    "address",
+    [
+        "jane [at] example dot com", "jane at example [dot] com", "jane at example.com", "jane@example dot com", "jane at example dot cz", "jane dot doe at example dot com",
+        "jane [dot] doe at mail dot example (dot) museum", "jane.doe@mail dot example.org", "jane dot doe@example.com",
+    ],
+)
+def test_pii_mixed_disguises(address):
+    text = f"Write to {address}, or call."
+    assert pii.masked(text, pii.all_spans(text)[1]) == "Write to <EMAIL>, or call."
+
+
+def test_pii_disguise_ends_at_a_known_label():
+    text = "jane at example dot com dot there"
+    assert [text[a:b] for _, a, b in pii.all_spans(text)[1]] == ["jane at example dot com"]
+
+
 def test_pii_rows(spark):
     docs = docs_of(spark, [None, "", "a@b.c and 1.2.3.4", "a@b.c and 1.2.3.4", "clean"], "").withColumn("spans", F.lit("own"))
     rows = {r["doc_id"]: r for r in pii.spans(docs).collect()}
