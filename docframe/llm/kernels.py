@@ -112,3 +112,34 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
     count = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     return points, count[offsets]
+
+
+def fixed(column, dtype, width: int) -> np.ndarray:
+    """A binary column whose values all hold `width` items, as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(len(column), width)
+
+
+def runs(batches, n: int):
+    """Each run of rows that agree in the first n columns, which have no nulls, as one batch."""
+    held: list[pa.RecordBatch] = []
+
+    def whole():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(n)]
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for k, c in enumerate(columns):
+            new[1:] |= c[1:] != c[:-1]
+            new[0] |= not held or held[-1].column(k)[-1].as_py() != c[0]
+        cuts = np.flatnonzero(new)
+        if len(cuts) == 0 or cuts[0] > 0:
+            held.append(batch.slice(0, cuts[0] if len(cuts) else batch.num_rows))
+        for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+            if held:
+                yield whole()
+            held = [batch.slice(a, b - a)]
+    if held:
+        yield whole()

@@ -132,10 +132,10 @@ def components_by_force(sets, percent):
     return [root(k) for k in range(len(sets))]
 
 
-@pytest.mark.parametrize(("block", "rounds"), [(4096, 1), (3, 0)])
-def test_near_duplicates(spark, monkeypatch, block, rounds):
+@pytest.mark.parametrize("block", [4096, 3])
+def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "NODES", block)
     rnd = random.Random(3)
     word = lambda: rnd.choice(["The", "of", "x", "y", "zz", "á"]) + str(rnd.randrange(60))
     texts = [None, "", "  \n", "One", "one", "a b", "A B"]
@@ -473,10 +473,9 @@ def test_pipeline(spark):
     assert out.count() == left.count() and "decoded" in out.columns
 
 
-def test_near_duplicates_after_tested_nearest(spark, monkeypatch):
-    """Every nearest pair may have failed as a star; the others are compared all the same."""
-    whole = minhash._across
-    monkeypatch.setattr(minhash, "_across", lambda limit, nearest: (lambda batches: iter(())) if nearest else whole(limit, nearest))
+def test_near_duplicates_without_stars(spark, monkeypatch):
+    """Every pair of a node and a centre may be missed; the others are compared all the same."""
+    monkeypatch.setattr(minhash, "_near", lambda batches: iter(()))
     rnd = random.Random(11)
     base = [f"w{k}" for k in range(60)]
     texts = [" ".join(base)]
@@ -487,3 +486,55 @@ def test_near_duplicates_after_tested_nearest(spark, monkeypatch):
         texts.append(" ".join(copy))
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, texts), 3, 85).collect()}
     assert [got[k] for k in range(len(texts))] == components_by_force(sets_of(texts, 3), 85)
+
+
+@pytest.mark.parametrize(("n", "private"), [(250, True), (250, False)])
+def test_near_duplicates_large_loose_group(spark, n, private):
+    """A group whose members are mostly just below the threshold: links as by force, and few of its sets are compared."""
+    rnd = random.Random(13)
+    base = [f"w{k}" for k in range(100)]
+    texts = []
+    for k in range(n):
+        copy = list(base)
+        for at in rnd.sample(range(100), rnd.randrange(3, 6)):
+            copy[at] = f"own{k}x{at}" if private else f"x{rnd.randrange(3)}"
+        texts.append(" ".join(copy))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, texts), 3, 85).collect()}
+    assert [got[k] for k in range(n)] == components_by_force(sets_of(texts, 3), 85)
+
+
+def test_similar_pairs_by_force():
+    rnd = random.Random(12)
+    for percent in (80, 85):
+        for _ in range(60):
+            base = [rnd.randrange(500) for _ in range(30)]
+            sets = [np.unique(np.array([x if rnd.random() < 0.9 else rnd.randrange(500) for x in base], np.uint64)) for _ in range(14)]
+            sides = np.array([rnd.randrange(1, 4) for _ in sets])
+            comp = np.array([rnd.randrange(20) for _ in sets])
+            root = {c: c for c in comp.tolist()}
+            own = dict(root)
+
+            def top(r, x):
+                while r[x] != x:
+                    x = r[x]
+                return x
+
+            for a, b in minhash.similar_pairs(sets, sides, comp, percent):
+                assert top(own, comp[a]) != top(own, comp[b])
+                own[top(own, comp[a])] = top(own, comp[b])
+            for a in range(14):
+                for b in range(14):
+                    both = len(np.intersect1d(sets[a], sets[b]))
+                    if sides[a] & 1 and sides[b] & 2 and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                        root[top(root, comp[a])] = top(root, comp[b])
+            same = lambda r: {frozenset(c for c in r if top(r, c) == t) for t in {top(r, c) for c in r}}
+            assert same(own) == same(root)
+
+
+def test_near_duplicates_very_long_text_and_clashing_columns(spark):
+    long = " ".join(f"w{k}" for k in range(300_000))
+    rows = docs_of(spark, [long, long + " end", "a b c d"]).selectExpr("*", "1 AS node", "2 AS component", "3 AS key", "4 AS n_shingles", "5 AS cluster")
+    got = {r["doc_id"]: tuple(r) for r in minhash.near_duplicates(rows, 3, 85).collect()}
+    assert got[0][2] == got[1][2] == 0 and got[1][1] == 299_999 and got[2][2:] == (2, True)
+    left = minhash.stage(rows, 3, 85)
+    assert left.columns == rows.columns and sorted(r["doc_id"] for r in left.collect()) == [0, 2]
