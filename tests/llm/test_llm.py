@@ -321,27 +321,66 @@ def test_pii_rows(spark):
 # 6 toxicity
 
 
-def test_toxicity(spark):
+def toxic_rows(n=900):
     rnd = random.Random(6)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 7)))
     rows, marks = [], []
-    for k in range(600):
-        bad = k % 3 == 0
+    for k in range(n):
         w = [word() for _ in range(60)]
-        if bad:
+        if k % 3 == 0:
             for _ in range(4):
                 w[rnd.randrange(60)] = rnd.choice(["hateful", "villain", "rubbish"])
         rows.append((k, " ".join(w)))
-        marks.append((k, int(bad)))
-    rows += [(1000, None), (1001, "")]
-    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*marks, (None, 1), (3, None)], "doc_id long, toxic int")
+        marks.append((k, int(k % 3 == 0)))
+    return rows, marks
+
+
+def test_toxicity(spark):
+    rows, marks = toxic_rows()
+    odd = [(1000, None), (1001, ""), (1002, rows[0][1]), (1002, rows[0][1]), (None, rows[0][1]), (1003, rows[0][1] + " word" * 200_000)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string").selectExpr("*", "7 AS toxic", "'x' AS score")
+    labels = spark.createDataFrame([*marks, *marks[:5], (None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
-    out = {r["doc_id"]: r for r in toxicity.scored(docs, model).collect()}
+    got = toxicity.scored(docs, model).collect()
+    assert len(got) == len(rows) + len(odd)
+    out = {r["doc_id"]: r for r in got}
     truth, held = dict(marks), {r["doc_id"] for r in docs.where(toxicity.held_out()).collect()}
     right = [out[k]["score"] for k in held if truth.get(k) == 1], [out[k]["score"] for k in held if truth.get(k) == 0]
     assert np.mean([a > b for a in right[0] for b in right[1]]) > 0.95
     assert 0 <= out[1000]["score"] == out[1001]["score"] <= 1
+    assert out[0]["score"] == out[1002]["score"] == out[None]["score"]
+    assert None not in held
+    # The score by plain steps.
+    one, two = toxicity.compressors(model["pair"])
+    for k, text in [*rows[:60], (1000, "")]:
+        w = [x.strip(toxicity._STRIP) for x in text.lower().split()]
+        saved = []
+        for at in range(0, len(w), toxicity.WINDOW):
+            window = model["lead"] + (" " + " ".join(w[at : at + toxicity.WINDOW]) + " ").encode() + toxicity._TAIL
+            saved.append(len(two.compress(window)) - len(one.compress(window)))
+        n, steps = len(saved), range(1, toxicity.STEPS + 1)
+        above, below = ([sum(x >= s for x in saved) for s in steps], [sum(x <= -s for x in saved) for s in reversed(steps)])
+        x = [*np.log1p(above), *np.sqrt(np.array(above) / max(1, n)), *np.log1p(below), *np.sqrt(np.array(below) / max(1, n)), np.log1p(n)]
+        z = float(np.dot((np.array(x) - model["mean"]) / model["scale"], model["weights"][:-1]) + model["weights"][-1])
+        assert abs(out[k]["score"] - 1 / (1 + np.exp(-z))) < 1e-9 and out[k]["predicted"] == (out[k]["score"] >= 0.7)
     assert toxicity.scored(docs, toxicity.fit(docs, labels.limit(0))).where("score <> 0").count() == 0
+    assert toxicity.scored(docs.limit(0), model).count() == 0
+    assert toxicity.scored(docs, toxicity.fit(docs.limit(0), labels)).count() == len(got)
+
+
+def test_toxicity_dictionaries_come_from_their_text():
+    rows, marks = toxic_rows()
+    toxic, ordinary = ([t for (_, t), (_, m) in zip(rows, marks) if m == k] for k in (1, 0))
+    one, two = toxicity.train_dictionaries(toxic, ordinary)
+    assert one.endswith(two) and len(two) == toxicity.ORDINARY and two.startswith(b"7\xa40\xec")  # the trainer's mark
+    own = one[: -len(two)]
+    for w in (b"hateful", b"villain", b"rubbish"):
+        assert w in own and w not in two
+    # The trained content is cut out of the class's samples (segments of 8 and of 20 bytes meet without a seam).
+    ones, zeros = [toxicity._samples(t) for t in toxic], [toxicity._samples(t) for t in ordinary]
+    for content, source, least in ((own[-100:], b"".join(toxicity.characteristic(ones, zeros)), 0.6), (two[-4000:], b"".join(w for t in zeros for w in t), 0.25)):
+        parts = [content[k : k + 6] for k in range(len(content) - 5)]
+        assert np.mean([p in source for p in parts]) > least
 
 
 # 7 rules
