@@ -6,11 +6,14 @@ begin with the one before, the template rewrote history there; the conversation
 last output still has, and a turn whose part is gone has no span. The text's place inside a span is found in the same
 way, by rendering the prefix with two texts that differ in their first character.
 
-Rows of a conversation are brought together in order and streamed; at most SEGMENT turns are held, and a longer
-conversation is rendered in segments that each start afresh. A template that looks further back needs a larger segment.
+Rows of a conversation are brought together in order and streamed by one task, as its digests are sequential. Any template
+sees every prefix of the whole conversation, which is held for it and takes time in the square of its turns. A template may
+be declared to render each turn without looking at the others (Template.segment); then prefixes of that many turns are
+rendered afresh, in bounded memory and linear time, and the declaration is tested where two segments meet: if the last
+turn of one and the first of the next don't render to the concatenation of both, that counts as a rewrite.
 
 Defined cases: null text and null role count as empty; rows that repeat a turn are all kept, in the order of turn (null
-first), role, text; a null conv_id is a conversation of its own; an empty table gives no rows; other columns are not
+first), role, text; a turn whose part is gone from the output isn't counted in n_turns and has a null span; a null conv_id is a conversation of its own; an empty table gives no rows; other columns are not
 read.
 """
 
@@ -19,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import groupby
 
@@ -27,7 +32,6 @@ from pyspark.sql import DataFrame
 
 from docframe.cluster import ship
 
-SEGMENT = 512
 # Control strings of the template and of its relatives, which texts may hold.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]")
 _SPECIAL = re.compile(r"\\|" + "|".join(map(re.escape, CONTROL)))
@@ -58,6 +62,24 @@ def default_template(turns: list[tuple[str, str]]) -> str:
     return "".join([f"<s>[ROLE] {escape(role)} [/ROLE]\n{escape(text)}</s>\n" for role, text in turns])
 
 
+@dataclass(frozen=True)
+class Template:
+    """A template and how its output is read back.
+
+    render: (role, text) of each turn -> output. role_of: a turn's part of the output -> its role; without it the role is
+    the turn's own. unescape: text in the output -> the turn's text. segment: declares that each turn is rendered without
+    looking at others, and how many turns are rendered together; None declares nothing.
+    """
+
+    render: Callable[[list[tuple[str, str]]], str]
+    role_of: Callable[[str], str] | None = None
+    unescape: Callable[[str], str] = str
+    segment: int | None = None
+
+
+DEFAULT = Template(default_template, lambda part: unescape(_HEADER.match(part)[1]), unescape, 32)
+
+
 def common_prefix(a: str, b: str) -> int:
     if b.startswith(a):
         return len(a)
@@ -86,62 +108,80 @@ def render(turns: list[tuple[str, str]], template=default_template) -> tuple[str
     return now, kept, rewrites
 
 
+def _segments(rows, template: Template):
+    """(turns, output, spans, rewrites) of each segment of a conversation."""
+    turns: list[tuple[str, str]] = []
+    before = None
+    for turn in rows:
+        turns.append(turn)
+        if len(turns) == template.segment:
+            yield _segment(before, turns, template)
+            before, turns = turns[-1], []
+    if turns:
+        yield _segment(before, turns, template)
+
+
+def _segment(before, turns, template):
+    out, spans, rewrites = render(turns, template.render)
+    if before is not None and template.render([before, turns[0]]) != template.render([before]) + template.render(turns[:1]):
+        rewrites = sorted({0, *rewrites})
+    return turns, out, spans, rewrites
+
+
 class _Reader:
-    """Digests of one conversation, read back from the output of its segments."""
+    """Digests of one conversation, read back from its output."""
 
-    def __init__(self, template):
-        self.template, self.turns = template, []
+    def __init__(self, rows, template: Template):
         self.n = self.chars = self.loss = self.rewrites = 0
         self.all, self.masked = hashlib.sha256(), hashlib.sha256()
-
-    def flush(self) -> None:
-        out, spans, rewrites = render(self.turns, self.template)
-        for span in spans:
-            if span is None:
-                continue
-            start, end, first, last = span
-            role, text = unescape(_HEADER.match(out[start:end])[1]), unescape(out[first:last])
-            self.n += 1
-            self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            if role == "assistant":
-                self.loss += len(text)
-                self.masked.update(text.encode("utf-8", "surrogatepass"))
-        self.chars += len(out)
-        self.rewrites += len(rewrites)
-        self.turns = []
-
-
-def formatted(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """conv_id, formatted, spans of each conversation: its text under the default template, whole in one row.
-
-    spans: start, end, text_start, text_end of each turn; role is the turn's. For conversations that fit in a row.
+        for turns, out, spans, rewrites in _segments(rows, template):
+            for (role, _), span in zip(turns, spans):
+                if span is not None:
+                    start, end, first, last = span
+                    self.add(template.role_of(out[start:end]) if template.role_of else role, template.unescape(out[first:last]))
+            self.chars += len(out)
+            self.rewrites += len(rewrites)
+
+    def add(self, role: str, text: str) -> None:
+        self.n += 1
+        self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+        if role == "assistant":
+            self.loss += len(text)
+            self.masked.update(text.encode("utf-8", "surrogatepass"))
+
+
+def formatted(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
+    """conv_id, formatted, spans, rewrites of each conversation: its text whole in one row.
+
+    spans: role, start, end, text_start, text_end of each turn (null places if it is gone); rewrites: the places of turns
+    that rewrote what was before them. For conversations that fit in a row.
     """
     ship(turns.sparkSession)
     schema = _formatted_schema(turns)
 
     def run(batches):
         for conv, rows in _conversations(batches):
-            out, places, at = [], [], 0
-            part: list[tuple[str, str]] = []
-            for role, text in [*rows, (None, None)]:
-                if part and (role is None or len(part) == segment):
-                    text_out, spans, _ = render(part)
-                    places += [{"role": r, "start": at + a, "end": at + b, "text_start": at + x, "text_end": at + y} for (r, _), (a, b, x, y) in zip(part, spans)]
-                    out.append(text_out)
-                    at, part = at + len(text_out), []
-                if role is not None:
-                    part.append((role, text))
-            yield pa.RecordBatch.from_pylist([{"conv_id": conv, "formatted": "".join(out), "spans": places}], schema=schema)
+            out, places, rewritten, at = [], [], [], 0
+            for part, text, spans, rewrites in _segments(rows, template):
+                rewritten += [len(places) + k for k in rewrites]
+                for (role, _), span in zip(part, spans):
+                    places.append({"role": role, **({n: at + x for n, x in zip(_PLACES, span)} if span else {})})
+                out.append(text)
+                at += len(text)
+            yield pa.RecordBatch.from_pylist([{"conv_id": conv, "formatted": "".join(out), "spans": places, "rewrites": rewritten}], schema=schema)
 
     kind = turns.schema["conv_id"].dataType.simpleString()
-    return _ordered(turns).mapInArrow(run, f"conv_id {kind}, formatted string, spans array<struct<role: string, start: long, end: long, text_start: long, text_end: long>>")
+    return _ordered(turns).mapInArrow(run, f"conv_id {kind}, formatted string, spans array<struct<role: string, start: long, end: long, text_start: long, text_end: long>>, rewrites array<long>")
+
+
+_PLACES = ("start", "end", "text_start", "text_end")
 
 
 def _formatted_schema(turns):
     from pyspark.sql.pandas.types import to_arrow_type
 
-    span = pa.struct([("role", pa.string()), *((c, pa.int64()) for c in ("start", "end", "text_start", "text_end"))])
-    return pa.schema([("conv_id", to_arrow_type(turns.schema["conv_id"].dataType)), ("formatted", pa.string()), ("spans", pa.list_(span))])
+    span = pa.struct([("role", pa.string()), *((c, pa.int64()) for c in _PLACES)])
+    return pa.schema([("conv_id", to_arrow_type(turns.schema["conv_id"].dataType)), ("formatted", pa.string()), ("spans", pa.list_(span)), ("rewrites", pa.list_(pa.int64()))])
 
 
 def _ordered(turns: DataFrame) -> DataFrame:
@@ -155,7 +195,7 @@ def _conversations(batches):
         yield conv, ((r, t) for _, r, t in group)
 
 
-def digests(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def digests(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_rewrites, read back from the output."""
     ship(turns.sparkSession)
     kind = turns.schema["conv_id"].dataType.simpleString()
@@ -175,12 +215,7 @@ def digests(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
                 yield b
 
         for conv, rows in _conversations(typed(batches)):
-            reader = _Reader(default_template)
-            for turn in rows:
-                reader.turns.append(turn)
-                if len(reader.turns) == segment:
-                    reader.flush()
-            reader.flush()
+            reader = _Reader(rows, template)
             out.append((conv, reader.n, reader.all.hexdigest(), reader.loss, reader.masked.hexdigest(), reader.chars, reader.rewrites))
             if len(out) == 1000:
                 yield batch()

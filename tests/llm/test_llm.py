@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against brute force, on small tables with nulls, ties, copies and odd columns."""
 
 import collections
+import dataclasses
 import hashlib
 import random
 import re
@@ -50,16 +51,49 @@ def test_chat_rewritten_history():
     assert rewrites == [1, 2] and spans[:2] == [None, None] and spans[2] is not None
 
 
+def segments_of(n):
+    return dataclasses.replace(chat.DEFAULT, segment=n)
+
+
 def test_chat_segments_and_nulls(spark):
     rows = [(1, t, "assistant" if t % 2 else "user", None if t == 3 else f"t{t}</s>") for t in range(9)] + [(None, 0, None, None)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    whole, parts = (sorted(map(tuple, chat.digests(turns, n).collect()), key=str) for n in (512, 2))
-    assert whole == parts
-    one = chat.formatted(turns.where("conv_id = 1"), 2).first()
+    whole, parts = (sorted(map(tuple, chat.digests(turns, segments_of(n)).collect()), key=str) for n in (None, 2))
+    assert whole == parts == sorted(map(tuple, chat.digests(turns).collect()), key=str)
+    one = chat.formatted(turns.where("conv_id = 1"), segments_of(2)).first()
     assert [chat.unescape(one["formatted"][s["text_start"] : s["text_end"]]) for s in one["spans"]] == [r[3] or "" for r in rows[:9]]
     assert chat.digests(turns.limit(0)).count() == 0
 
 
+def test_chat_long_conversation_with_a_rewriting_template(spark):
+    """A template that keeps the last 550 turns only: every turn after them rewrites, wherever it is."""
+    turns = spark.createDataFrame([(1, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(600)], "conv_id long, turn long, role string, text string")
+    keeps = chat.Template(lambda turns: "".join(f"<{r}>{t}</>" for r, t in turns[-550:]))
+    found = chat.digests(turns, keeps).first()
+    assert found["n_rewrites"] == 50
+    one = chat.formatted(turns, keeps).first()
+    assert one["rewrites"] == list(range(550, 600))
+    plain = chat.digests(turns).first()
+    assert (plain["n_turns"], plain["n_rewrites"], plain["loss_chars"]) == (600, 0, sum(len(f"t{t}") for t in range(1, 600, 2)))
+
+
+def test_chat_false_declaration_is_seen(spark):
+    """A template that marks the first turn only, declared to look at no other turn."""
+    turns = spark.createDataFrame([(1, t, "user", f"t{t}") for t in range(7)], "conv_id long, turn long, role string, text string")
+    first = chat.Template(lambda turns: "".join(f"{'<s>' if k == 0 else ''}{t}|" for k, (_, t) in enumerate(turns)), segment=3)
+    assert chat.digests(turns, first).first()["n_rewrites"] == 2
+    assert chat.digests(turns, dataclasses.replace(first, segment=None)).first()["n_rewrites"] == 0
+
+
+def test_chat_ties_repeats_and_clashing_columns(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "assistant", "n"), (1, 1, "assistant", "x" * 300_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS n_turns", "2 AS spans")
+    found = chat.digests(turns).first()
+    order = [("assistant", "n"), ("user", "a"), ("user", "a"), ("user", "b"), ("assistant", "x" * 300_000)]
+    assert found["n_turns"] == 5 and found["loss_chars"] == 300_001
+    assert found["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in order).encode()).hexdigest()
+
+
 # 2 substrings
 
 
