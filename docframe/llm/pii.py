@@ -9,7 +9,9 @@ larger than those it overlaps and holds them.
 Positions are code points, ends are exclusive. Defined cases: null counts as empty (no spans); repeated rows are handled
 one by one; columns besides text are kept as they are by `stage` and not read.
 
-Each pattern is matched in time linear in the text.
+Each pattern is matched in time linear in the text; none limits the length of an address or a number, or the blanks, tabs
+and line breaks around a separator. The last label after "dot" may be any of letters ("look at this dot there" is taken for
+an address, too); after another word for it ("at this point in") only a label that ends addresses and isn't a word.
 """
 
 from __future__ import annotations
@@ -92,27 +94,29 @@ _DIGITS = {
 }
 _NAMES = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _AT, _DOT = r"at|arroba|ät", r"dot|punkt|point|punto"
-#: At and dot in brackets, or as words of their own between the parts of an address.
-_BRACKET = re.compile(rf"[ \t]?[\[({{<][ \t]?(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))[ \t]?[\])}}>][ \t]?", re.I)
-# Last labels that make "x at y dot z" an address.
+#: At and dot in brackets.
+_BRACKET = re.compile(rf"(?<!\s)\s*+[\[({{<]\s*+(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\s*+[\])}}>]\s*+", re.I)
+#: Words and parts of addresses with an at or a dot in words, or an at sign, between them.
+_CHAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:(?:@|\s++(?:{_AT}|{_DOT})\s++)[A-Za-z0-9._%+-]++)++", re.I)
+_SEPARATOR = re.compile(rf"(?P<at>@|\s+(?:{_AT})\s+)|(?P<dot>\s+(?:{_DOT})\s+)", re.I)
+# Last labels that are preferred as the end of "x at y dot z", and those among them that are words as well.
 _LAST = "com|org|net|edu|gov|mil|int|info|biz|io|co|uk|us|eu|de|fr|es|it|nl|at|ch|be|pl|se|no|dk|fi|pt|ru|jp|cn|in|br|mx|ca|au|example|test|invalid|local|dev|app|ai|me|xyz|online|site|mail|cz|sk|hu|ro|bg|gr|tr|ua|kr|tw|hk|sg|nz|za|ar|cl|ie|lt|lv|ee|si|hr|rs|lu"
-_WORDS = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{{1,64}}(?: (?:{_DOT}) [A-Za-z0-9._%+-]{{1,64}}){{0,4}})(@| (?:{_AT}) )([A-Za-z0-9-]{{1,63}}(?:(?:\.| (?:{_DOT}) )[A-Za-z0-9-]{{1,63}}){{1,8}})(?![A-Za-z0-9-])", re.I)
-_DOT_WORD = re.compile(rf" (?:{_DOT}) ", re.I)
-_DOTS = re.compile(rf"\.| (?:{_DOT}) ", re.I)
-_KNOWN = re.compile(_LAST, re.I)
-_LABEL = re.compile(r"[A-Za-z]{2,63}")
+_KNOWN = frozenset(_LAST.split("|"))
+_ALSO_WORDS = frozenset("us|es|it|at|be|se|no|in|ca|au|me|online|site|mail|local|test|example|si|hr".split("|"))
+_LABEL, _HOST_LABEL = re.compile(r"[A-Za-z]{2,}"), re.compile(r"[A-Za-z0-9-]+")
 #: A word for the sign before a host that is written as usual.
-_AT_WORD = re.compile(rf" (?:{_AT}) [A-Za-z0-9-]{{1,63}}\.[A-Za-z]", re.I)
-_GAP = r"[ ,()-]{0,3}"
+_AT_WORD = re.compile(rf"\s(?:{_AT})\s++[A-Za-z0-9-]++\.[A-Za-z]", re.I)
+_GAP = r"[ \t\r\n,()-]*+"
 #: At least four numbers in words or figures with blanks, hyphens, brackets or spelled signs between them.
-_SPELLED = re.compile(rf"(?<![A-Za-zÀ-ÿ0-9])(?:(?:plus|\+){_GAP})?(?:(?:(?:{_NAMES})(?![A-Za-zÀ-ÿ])|[0-9]{{1,4}}){_GAP}(?:(?:{_DOT}|dash|hyphen|minus)(?![A-Za-zÀ-ÿ]){_GAP})?){{4,40}}", re.I)
-_PART = re.compile(rf"(?P<name>{_NAMES})|(?P<fig>[0-9]+)|(?P<plus>plus|\+)|(?P<dot>{_DOT})|(?P<dash>dash|hyphen|minus)|(?P<gap>[ ,()-]+)", re.I)
+_SPELLED = re.compile(rf"(?<![A-Za-zÀ-ÿ0-9])(?:(?:plus|\+){_GAP})?(?:(?:(?:{_NAMES})(?![A-Za-zÀ-ÿ])|[0-9]++){_GAP}(?:(?:{_DOT}|dash|hyphen|minus)(?![A-Za-zÀ-ÿ]){_GAP})?){{4,}}+", re.I)
+_PART = re.compile(rf"(?P<name>{_NAMES})|(?P<fig>[0-9]+)|(?P<plus>plus|\+)|(?P<dot>{_DOT})|(?P<dash>dash|hyphen|minus)|(?P<gap>[ \t\r\n,()-]+)", re.I)
 _TRIGGER = re.compile(rf"[{''.join(map(re.escape, [*_ALIKE, *_UNSEEN]))}]")
-_HINT = re.compile(r"[\[({<][ \t]?(?:[@.]|[AaÄäDdPp])")
+_HINT = re.compile(r"[\[({<]\s*+(?:[@.]|[AaÄäDdPp])")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_HINT_WORDS = frozenset([*_DIGITS, *_DOT.split("|")])
+_HINT_WORDS = frozenset([*_DIGITS, *_DOT.split("|"), "plus"])
+_PLUS = re.compile(r"(?<![A-Za-zÀ-ÿ])plus\s++(?=[0-9(])", re.I)
 #: Letters that stand for figures, among figures only.
-_MIXED = re.compile(r"(?<![A-Za-z0-9])\+?[0-9OolI](?:[ .-]?[0-9OolI]){8,40}(?![A-Za-z0-9])")
+_MIXED = re.compile(r"(?<![A-Za-z0-9])\+?[0-9OolI](?:[ .-]?[0-9OolI]){8,}+")
 _MIX = re.compile(r"[0-9][ .-]?[OolI]|[OolI][ .-]?[0-9]")
 _FIGURES = {"O": "0", "o": "0", "l": "1", "I": "1"}
 
@@ -138,40 +142,82 @@ class Mapped:
 
 def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
     """Edits that turn a spelled number into figures; blanks between figures are kept short, spelled signs become signs."""
-    body = m[0].rstrip(" ,()-")
+    body = m[0].rstrip(" \t\r\n,()-")
     parts = list(_PART.finditer(m.string, m.start(), m.start() + len(body)))
-    if sum(p.lastgroup in ("name", "fig") for p in parts) < 4 or not any(p.lastgroup == "name" for p in parts):
+    kinds = [p.lastgroup for p in parts]
+    if sum(k in ("name", "fig") for k in kinds) < 4 or not ("name" in kinds or "dot" in kinds):
         return []
     edits = []
-    for p in parts:
+    for k, p in enumerate(parts):
+        if p.lastgroup == "gap" and "name" not in kinds and "dot" not in kinds[max(0, k - 1) : k + 2]:
+            continue  # figures stay apart, but for those around a spelled dot
         put = {"name": _DIGITS.get(p[0].lower(), ""), "fig": p[0], "plus": "+", "dot": ".", "dash": "-", "gap": ""}[p.lastgroup]
         if put != p[0]:
             edits.append((p.start(), p.end(), put))
     return edits
 
 
-def _address(m: re.Match) -> list[tuple[int, int, str]]:
-    """Edits that turn separators in words into signs, up to the last label that can end the address.
+def _addresses(m: re.Match) -> list[tuple[int, int, str]]:
+    """Edits that turn the separators in words of a chain's addresses into signs.
 
-    That is a known one, or any of letters if a separator before it is a sign.
+    For each at, the local part is what dots join to its left, the host what dots join to its right.
     """
-    dots = list(_DOTS.finditer(m[3]))
-    ends = [*(d.start() for d in dots[1:]), len(m[3])]
-    for k in reversed(range(len(dots))):
-        label = m[3][dots[k].end() : ends[k]]
-        explicit = m[2] == "@" or any(d[0] == "." for d in dots[: k + 1])
-        if _KNOWN.fullmatch(label) or (explicit and _LABEL.fullmatch(label)):
-            edits = [(m.start(1) + d.start(), m.start(1) + d.end(), ".") for d in _DOT_WORD.finditer(m[1])]
-            if m[2] != "@":
-                edits.append((*m.span(2), "@"))
-            return edits + [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in dots[: k + 1] if d[0] != "."]
-    return []
+    parts, at = [], m.start()  # (at or dot before it or None, its span, part's start, part's end)
+    for sep in [*_SEPARATOR.finditer(m.string, m.start(), m.end()), None]:
+        parts.append((at, sep.start() if sep else m.end(), sep))
+        at = sep.end() if sep else at
+    edits = {}
+    for k in (k for k, (_, _, sep) in enumerate(parts) if sep and sep["at"]):
+        found = _host(m.string, parts, k)
+        if found is not None:
+            j = k
+            while j and parts[j - 1][2]["dot"]:
+                j -= 1
+                edits[parts[j][2].span()] = "."
+            if parts[k][2][0] != "@":
+                edits[parts[k][2].span()] = "@"
+            edits.update((span, ".") for span in found)
+    return [(a, b, put) for (a, b), put in sorted(edits.items())]
+
+
+def _host(text: str, parts, k: int) -> list[tuple[int, int]] | None:
+    """Spans of the dots in words inside the host after the k-th part's at, or None if no host follows."""
+    labels, dots, explicit, words = [], [], [], []  # for each label what is true up to it
+    sign, spoken, spans = parts[k][2][0] == "@", False, []
+    for start, end, sep in parts[k + 1 :]:
+        for n, label in enumerate(text[start:end].split(".")):
+            if not _HOST_LABEL.fullmatch(label):
+                sep = None
+                break
+            sign |= n > 0
+            labels.append(label)
+            dots.append(len(spans))
+            explicit.append(sign)
+            words.append(spoken)
+        if not sep or sep["at"]:
+            break
+        spans.append(sep.span())
+        spoken |= sep[0].strip().lower() != "dot"
+    usable = [k for k in range(1, len(labels))]
+    # A known label, or any after a sign, ends the host; else any label, if "dot" is the only word between labels, as
+    # "at this point in" is no address.
+    for k in reversed(usable):
+        known = labels[k].lower() in _KNOWN and not (words[k] and not explicit[k] and labels[k].lower() in _ALSO_WORDS)
+        if known or (explicit[k] and _LABEL.fullmatch(labels[k])):
+            return spans[: dots[k]]
+    for k in reversed(usable):
+        if not words[k] and _LABEL.fullmatch(labels[k]):
+            return spans[: dots[k]]
+    return None
 
 
 def _mixed(m: re.Match) -> list[tuple[int, int, str]]:
-    if len(_DIGIT.findall(m[0])) < 6:
+    found = m[0]
+    if m.string[m.end() : m.end() + 1].isalnum():  # the last part belongs to a word
+        found = found[: max(found.rfind(c) for c in " .-") + 1]
+    if len(_DIGIT.findall(found)) < 6 or sum(c not in "+ .-" for c in found) < 9:
         return []
-    return [(m.start() + k, m.start() + k + 1, _FIGURES[c]) for k, c in enumerate(m[0]) if c in _FIGURES]
+    return [(m.start() + k, m.start() + k + 1, _FIGURES[c]) for k, c in enumerate(found) if c in _FIGURES]
 
 
 def normalised(text: str) -> Mapped | None:
@@ -187,8 +233,9 @@ def normalised(text: str) -> Mapped | None:
     if mixed:
         now = now.replaced([e for m in _MIXED.finditer(now.text) for e in _mixed(m)])
     now = now.replaced([(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKET.finditer(now.text)])
-    now = now.replaced([e for m in _WORDS.finditer(now.text) for e in _address(m)])
-    return now.replaced([e for m in _SPELLED.finditer(now.text) for e in _spelled(m)])
+    now = now.replaced([e for m in _CHAIN.finditer(now.text) for e in _addresses(m)])
+    now = now.replaced([e for m in _SPELLED.finditer(now.text) for e in _spelled(m)])
+    return now.replaced([(m.start(), m.end(), "+") for m in _PLUS.finditer(now.text)])
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

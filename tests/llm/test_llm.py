@@ -317,7 +317,15 @@ def test_pii_base():
         ("card four one one one one one one one one one one one one one one one", "card", "four one one one one one one one one one one one one one one one"),
         ("４１１１ 1111 1111 1111", "card", "４１１１ 1111 1111 1111"),
         ("card 4lll 1111 llll 1111", "card", "4lll 1111 llll 1111"),
-        ("look at this dot there, one two three four", None, None),
+        ("we look at this point in time, one two three four", None, None),
+        ("at this point we had one or two", None, None),
+        ("x" * 70 + " at example dot com", "email", "x" * 70 + " at example dot com"),
+        ("john at example dot zone", "email", "john at example dot zone"),
+        ("a dot b dot c dot d dot e dot f at mail dot x dot example dot org", "email", "a dot b dot c dot d dot e dot f at mail dot x dot example dot org"),
+        ("john  at\nexample\t dot \n com", "email", "john  at\nexample\t dot \n com"),
+        ("john [  at  ] example (\ndot\n) com", "email", "john [  at  ] example (\ndot\n) com"),
+        ("four    one one one, one   one one one ( one ) one one one - one one      one one", "card", "four    one one one, one   one one one ( one ) one one one - one one      one one"),
+        ("jean arroba exemple point fr", "email", "jean arroba exemple point fr"),
     ],
 )
 def test_pii_disguised(text, kind, span):
@@ -343,6 +351,49 @@ def test_pii_disguise_ends_at_a_known_label():
     assert [text[a:b] for _, a, b in pii.all_spans(text)[1]] == ["jane at example dot com"]
 
 
+def test_pii_long_texts_take_linear_time():
+    import time
+
+    for piece in ("a dot ", "a at ", "1 ", "one ", "1 l ", " ", "[ ", "a.", "at\n", "@", "a@", "+1 ", "plus ", "(", "о"):
+        text = piece * (400_000 // len(piece))
+        began = time.perf_counter()
+        pii.all_spans(text + "a")
+        assert time.perf_counter() - began < 20, piece
+
+
+DISGUISES = {
+    "email": [lambda a: a.replace("@", " at ").replace(".", " dot "), lambda a: a.replace("@", " [at] ").replace(".", "(dot)"), lambda a: a.replace("e", "е"), lambda a: a.replace("@", "@\u200b"), lambda a: a.replace("@", " AT ")],
+    "ip": [lambda a: a.replace(".", " dot "), lambda a: a.replace(".", "[.]"), lambda a: "".join(chr(0xFF10 + int(c)) if c.isdigit() else c for c in a), lambda a: a.replace("1", "l") if "1" in a[1:] and len(a) > 12 else a.replace(".", "(dot)")],
+    "card": [lambda a: a.replace("0", "O"), lambda a: " ".join("zero one two three four five six seven eight nine".split()[int(c)] for c in a), lambda a: "".join(chr(0xFF10 + int(c)) for c in a)],
+    "phone": [lambda a: a.replace("+", "plus "), lambda a: "plus " + " ".join("zero one two three four five six seven eight nine".split()[int(c)] for c in a if c.isdigit()), lambda a: a.replace("1", "１")],
+}
+
+
+def test_pii_recall_on_planted_disguises():
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("bcdfghklmnprstvw") + rnd.choice("aeiou") for _ in range(rnd.randrange(2, 4)))
+
+    def card():
+        d = "4" + "".join(rnd.choice("0123456789") for _ in range(14))
+        return next(d + c for c in "0123456789" if pii.luhn(d + c))
+
+    make = {
+        "email": lambda: f"{word()}.{word()}@{word()}.{rnd.choice(['com', 'org', 'zone', 'fr'])}",
+        "ip": lambda: ".".join(str(rnd.randrange(100, 256)) for _ in range(4)),
+        "card": card,
+        "phone": lambda: "+1" + "".join(rnd.choice("0123456789") for _ in range(9)),
+    }
+    for kind, ways in DISGUISES.items():
+        for way in ways:
+            found = 0
+            for _ in range(60):
+                hidden = way(make[kind]())
+                text = f"Some {word()} here, {hidden}, and {word()} {word()}."
+                start = text.index(hidden)
+                found += any(k == kind and a <= start and b >= start + len(hidden) for k, a, b in pii.all_spans(text)[1])
+            assert found >= 54, (kind, hidden, found)
+
+
 def test_pii_rows(spark):
     docs = docs_of(spark, [None, "", "a@b.c and 1.2.3.4", "a@b.c and 1.2.3.4", "clean"], "").withColumn("spans", F.lit("own"))
     rows = {r["doc_id"]: r for r in pii.spans(docs).collect()}
