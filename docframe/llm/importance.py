@@ -1,9 +1,10 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, and Gumbel top-k.
 
 The raw model counts hashed one- and two-word n-grams over all documents, the target model over labelled documents of
-good quality (a bounded sample of labels). A document's log weight is the sum of log(target / raw) over its n-grams,
-divided by the square root of their number, so that long documents aren't decided by their length. Adding Gumbel noise
-and taking the k largest keys draws k documents without replacement in proportion to their weights. The noise follows
+good quality (a bounded sample of labels); it starts from PRIOR n-grams spread as the raw text's are, so that rare ones
+say little. A document's log weight is the sum of log(target / raw) over its n-grams: the importance of the document, the
+ratio of its densities under the two models. Adding Gumbel noise and taking the k largest keys draws k documents without
+replacement in proportion to their weights. The noise follows
 from doc_id and the seed. k is the number of documents times the share of good ones among labelled documents.
 
 The k-th key is found exactly by counting keys in ever narrower ranges; no sort gathers the documents.
@@ -24,6 +25,8 @@ from docframe.llm import kernels as K
 BUCKETS = 1 << 16
 #: Labelled documents that the target model is fitted on, about; the ids are broadcast.
 TARGET_ROWS = 20_000
+#: Weight of the raw text's distribution in the target model, in n-grams.
+PRIOR = 20_000
 SEED = 17
 #: Keys that are compared one by one at the end of the search for the k-th.
 LEAST = 5_000
@@ -64,9 +67,8 @@ def fit(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> t
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     if rows.num_rows:
         raw[rows["bucket"].to_numpy()], target[rows["bucket"].to_numpy()] = rows["raw"].to_numpy(), rows["target"].to_numpy()
-    # The target model is smoothed towards the raw one, so that rare n-grams say little.
     p = (raw + 1) / (raw.sum() + BUCKETS)
-    q = (target + 20 * BUCKETS / 64 * p) / (target.sum() + 20 * BUCKETS / 64)
+    q = (target + PRIOR * p) / (target.sum() + PRIOR)
     return np.log(q) - np.log(p), good / n
 
 
@@ -79,9 +81,8 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
         for batch in batches:
             for part in K.slices(batch):
                 buckets, of = _features(part.column(1))
-                n = np.bincount(of, minlength=part.num_rows)
                 total = np.bincount(of, weights=known.value[buckets.astype(np.int64)], minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.round(total / np.sqrt(np.maximum(n, 1)), 9))], names=["doc_id", "log_weight"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.round(total, 9))], names=["doc_id", "log_weight"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, log_weight double")

@@ -5,6 +5,7 @@ import dataclasses
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -537,6 +538,57 @@ def test_importance(spark):
     assert importance.resampled(docs.limit(0), labels).count() == 0
 
 
+def grams_by_force(text):
+    """Buckets of the words and word pairs of a text."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x + 0x9E3779B97F4A7C15) & mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def word(b):
+        power, total = 1, 0
+        for c in b:
+            total = (total + mix(c) * power) & mask
+            power = power * 0xD6E8FEB86659FD95 & mask
+        return mix((total + len(b) * 0x632BE59BD9B4E019) & mask)
+
+    w = [word(x.encode()) for x in WORD.findall(text or "")]
+    two = [(mix(a ^ 0x51ED270B9F0C2A35) + mix(b ^ (0x51ED270B9F0C2A35 * 2 & mask))) & mask for a, b in zip(w, w[1:])]
+    return [x % importance.BUCKETS for x in w + two]
+
+
+def test_importance_by_force(spark):
+    """Weights, keys and the drawn documents by plain counting; nulls, ties, repeated rows, long texts, clashing columns."""
+    rnd = random.Random(31)
+    texts = [None, "", " \n", "one", "été one two"] + [" ".join(rnd.choice(["good", "fine", "bad", "x", "y", "z"][k % 2 :][:5]) for _ in range(rnd.randrange(1, 30))) for k in range(60)] + ["good fine " * 60_000]
+    docs = docs_of(spark, texts).unionByName(docs_of(spark, texts).where("doc_id in (7, 8)")).selectExpr("*", "1 AS kept", "2 AS log_weight")
+    marks = [(k, int(k % 2 == 0)) for k in range(5, 45)] + [(5, 0), (None, 1), (6, None)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    good = {k for k, q in marks if q == 1 and k is not None}
+    raw, target = collections.Counter(), collections.Counter()
+    for k, t in rows:
+        g = grams_by_force(t)
+        raw.update(g)
+        if k in good:
+            target.update(g)
+    n, m = sum(raw.values()), sum(target.values())
+    p = lambda b: (raw[b] + 1) / (n + importance.BUCKETS)
+    weight = {k: sum(np.log((target[b] + importance.PRIOR * p(b)) / (m + importance.PRIOR)) - np.log(p(b)) for b in grams_by_force(t)) for k, t in rows}
+    out = importance.resampled(docs, labels).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert abs(r["log_weight"] - weight[r["doc_id"]]) < 1e-6 * max(1, abs(weight[r["doc_id"]]))
+    share = sum(q == 1 for _, q in marks[:-2]) / len(marks[:-2])
+    least = sorted((r["sample_key"] for r in out), reverse=True)[round(len(rows) * share) - 1]
+    assert all(r["kept"] == (r["sample_key"] >= least) for r in out)
+    noise = [r["sample_key"] - r["log_weight"] for r in out]
+    assert len({round(x, 6) for x in noise}) == len(texts) and -4 < min(noise) and max(noise) < 12
+
+
 # 9 language
 
 
@@ -554,6 +606,50 @@ def test_language(spark):
     assert langid.predict(every, langid.fit(every.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_by_force(spark):
+    """Predictions by plain naive Bayes over the same buckets, and a bounded fit on a small sample of all rows."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", F.lit("x").alias("lang_pred"), F.lit(1).alias("score"))
+    odd = spark.createDataFrame([(None, "the cat", None), (9001, "Ein Haus. " * 40_000, None), (9002, "the", None), (9002, "the", None), (9003, "\u0130ß", None)], "doc_id long, text string, lang string")
+    every = docs.unionByName(odd, allowMissingColumns=True)
+    model = langid.fit(every)
+
+    def buckets(text, order):
+        low = [ord(x) if len(x := c.lower()) == 1 else ord(c) for c in text]
+        out, mask = [], 0xFFFFFFFF
+        for at in range(len(low) - order + 1):
+            h = order * 0x9E3779B1 & mask
+            for k in range(order):
+                h = (h ^ low[at + k]) * 0x85EBCA6B & mask
+                h ^= h >> 15
+            out.append((h * 0xC2B2AE35 & mask) >> 17)
+        return out
+
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in every.collect()]
+    counts, seen = collections.defaultdict(collections.Counter), collections.Counter()
+    for k, text, lang in rows:
+        if lang is not None and zlib.crc32(str(k).encode()) % 5 != 0:
+            seen[lang] += 1
+            for order in langid.ORDERS:
+                counts[lang].update(buckets(text, order))
+    langs = sorted(seen)
+    assert model["langs"] == langs
+    total = {x: sum(counts[x].values()) + 0.5 * langid.BUCKETS for x in langs}
+    found = collections.defaultdict(list)
+    for r in langid.predict(every, model).collect():
+        found[r["doc_id"]].append((r["lang_pred"], r["score"]))
+    assert sum(map(len, found.values())) == len(rows)
+    for k, text, _ in rows[:60] + rows[-5:]:
+        cut = text[:3000] if k != 9001 else text
+        if cut != text:
+            continue
+        logs = [np.log(seen[x] / sum(seen.values())) + sum(n * np.log((counts[x][b] + 0.5) / total[x]) for order in langid.ORDERS for b, n in collections.Counter(buckets(text, order)).items()) for x in langs]
+        best = int(np.argmax(logs))
+        share = 1 / sum(np.exp(np.minimum(0, np.array(logs) - logs[best])))
+        assert found[k][0][0] == langs[best] and abs(found[k][0][1] - share) < 1e-3, k
+    flags = every.select("doc_id", langid.held_out().alias("h")).collect()
+    assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in flags)
+
+
 # 10 encoding
 
 
@@ -579,9 +675,59 @@ def test_bpe_rows(spark):
     assert bpe.digests(docs, vocabulary()).count() == 4
 
 
+def test_bpe_digests_against_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary())
+    texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").limit(80).collect()] + [None, "", "Aé\u0301 \U0001f600", "word " * 100_000, "z" * 50_000]
+    docs = docs_of(spark, texts).unionByName(docs_of(spark, ["twice"])).selectExpr("*", "1 AS n_tokens", "2 AS ids")
+    got = collections.defaultdict(set)
+    for r in bpe.digests(docs, vocabulary()).collect():
+        got[r["doc_id"]].add(tuple(r)[1:])
+    for k, t in [*enumerate(texts), (0, "twice")]:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()) in got[k]
+    assert bpe.digests(docs.limit(0), vocabulary()).count() == 0
+
+
 # pipeline
 
 
+def test_pipeline_by_force(spark, tmp_path):
+    """Every stage's decisions on a table whose rows have a known fate, and the ids of what is left."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    source = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) between 300 and 3000").orderBy("doc_id").select("doc_id", "text", "lang").limit(60).collect()]
+    sets = sets_of([t for _, t, _ in source], 5)
+    first = [k for k, c in enumerate(components_by_force(sets, 80)) if c == k]
+    clean = [source[k] for k in first if "@" not in source[k][1] and "+" not in source[k][1]]
+    clean = [r for r in clean if pii.all_spans(r[1])[1] == []]
+    copied = clean[0][1]
+    planted = [
+        (9001, None, None),
+        (9002, "12 34 !!", "en"),
+        (9003, "", None),
+        (9004, copied, clean[0][2]),
+        (9005, copied + " end", clean[0][2]),
+        (9006, f"{clean[1][1]}\n{ITEM}", clean[1][2]),
+        (9007, f"Was that all of the things and more of them? Write to jane at example dot com or a@b.org, {clean[2][1][:60]}", "en"),
+    ]
+    rows = [(k, t, lang, "s", len(t or "")) for k, t, lang in clean + planted]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(out) == {k for k, _, _ in clean} | {9007}
+    library = Tokenizer.from_file(vocabulary())
+    for k, t, _ in [*clean, planted[-1]]:
+        if k == 9007:
+            t = t.replace("jane at example dot com", "<EMAIL>").replace("a@b.org", "<EMAIL>")
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert out[k]["text"] == t and list(out[k]["ids"]) == ids and out[k]["decoded"] == library.decode(ids, skip_special_tokens=False)
+        assert out[k]["n_chars"] == len(t)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
