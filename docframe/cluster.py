@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -30,9 +32,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "docframe-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -41,8 +45,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: the lineage ends there and survives lost executors."""
+    """Write df as Parquet into the shared folder and read it again: the lineage ends there and survives lost executors.
+
+    The tables stay until release() or the end of the driver's process.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_release_last)
+    _WRITTEN.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that durable() wrote for this session; DataFrames that read them can't be used afterwards."""
+    files = spark._jvm.org.apache.hadoop.fs
+    for entry in [e for e in _WRITTEN if e[0] is spark]:
+        path = files.Path(entry[1])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(entry)
+
+
+def _release_last() -> None:
+    for spark in {id(s): s for s, _ in _WRITTEN}.values():
+        try:
+            release(spark)
+        except Exception:  # noqa: BLE001  the session is gone already, and its folder with it or not
+            continue
