@@ -160,3 +160,10 @@ def first_member(data: bytes, most: int) -> bytes | None:
             raise TooLarge(f"a member of {size} bytes")
         return unpacked(data[start : start + max(packed, 0)], size, method)
     return None
+
+
+def stored_member(name: str, content: bytes) -> bytes:
+    """An archive of one member that isn't packed, with a head of level 0."""
+    raw = name.encode("latin-1")
+    body = b"-lh0-" + struct.pack("<2I", len(content), len(content)) + b"\0" * 4 + b"\x20\0" + bytes([len(raw)]) + raw + b"\0\0"
+    return bytes([len(body), sum(body) % 256]) + body + content + b"\0"

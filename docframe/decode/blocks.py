@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left
 from dataclasses import dataclass
 
+import numpy as np
+
 from docframe.decode.errors import Corrupt, NotContainer, TooLarge, Unsupported
 
 # Fixed values of the format: stream heads, and words of the unit stream.
@@ -104,21 +107,39 @@ class Token:
     text_start: int = 0
 
 
-def _shown(w: int) -> bool:
-    return w == TAB or not (w < 0x20 or 0x7F <= w <= 0x9F)
+class _Units:
+    """A unit stream with quick access to its control words and its text."""
+
+    def __init__(self, units):
+        words = np.asarray(units, dtype=np.uint16)
+        self.raw = words.astype(">u2").tobytes()
+        low = (words < 0x20) & (words != TAB) | (words >= 0x7F) & (words <= 0x9F)
+        self.unseen = [*np.flatnonzero(low).tolist(), len(words)]
+        self.stops = [*np.flatnonzero((words == INLINE_STOP) | (words == RECORD)).tolist(), len(words)]
+        self.plain = not ((words >= 0xD800) & (words < 0xE000)).any()
+
+    def next_unseen(self, at: int) -> int:
+        return self.unseen[bisect_left(self.unseen, at)]
+
+    def next_stop(self, at: int) -> int:
+        return self.stops[bisect_left(self.stops, at)]
+
+    def text(self, start: int, end: int) -> str:
+        part = self.raw[2 * start : 2 * end]
+        return part.decode("utf-16-be") if self.plain else lossy(struct.unpack(f">{end - start}H", part))
 
 
 def tokens(units: list[int]) -> list[Token]:
     """Records and inline texts by their frames, runs of text, and what remains as control codes."""
-    out, at, n = [], 0, len(units)
+    out, at, n, seen = [], 0, len(units), _Units(units)
     while at < n:
         w = units[at]
         if w == RECORD and at + 2 < n:
             kind, length = units[at + 1], units[at + 2]
             end = at + length
             if kind == 1 and length >= 3 and end <= n and units[end - 1] == INLINE_START:
-                stop = next((k for k in range(end, n) if units[k] in (INLINE_STOP, RECORD)), n)
-                out.append(Token("inline", at, 1, lossy(units[end:stop]), tuple(units[at:end]), end))
+                stop = seen.next_stop(end)
+                out.append(Token("inline", at, 1, seen.text(end, stop), tuple(units[at:end]), end))
                 at = stop
                 if stop < n and units[stop] == INLINE_STOP:
                     foot = units[stop + 1] if stop + 1 < n else 0
@@ -129,13 +150,13 @@ def tokens(units: list[int]) -> list[Token]:
                 out.append(Token("record", at, kind, words=tuple(units[at + 3 : end - 4])))
                 at = end
                 continue
-        if not _shown(w):
+        stop = seen.next_unseen(at)
+        if stop == at:
             if w != RECORD_END:
                 out.append(Token("control", at, w))
             at += 1
             continue
-        stop = next((k for k in range(at, n) if not _shown(units[k])), n)
-        out.append(Token("text", at, text=lossy(units[at:stop])))
+        out.append(Token("text", at, text=seen.text(at, stop)))
         at = stop
     return out
 

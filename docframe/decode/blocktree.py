@@ -94,6 +94,9 @@ def lines(units: list[int], spans=()) -> list[Line]:
 
     def pieces(token):
         """(text, bold) of a text, cut where the bold changes; positions are units."""
+        if not starts:
+            yield token.text, False
+            return
         at, part, was = token.start, "", None
         for c in token.text:
             is_bold = bold(at)

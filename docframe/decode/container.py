@@ -239,3 +239,19 @@ def write_container(streams: dict[str, bytes]) -> bytes:
     head = SIGNATURE + b"\0" * 16 + struct.pack("<5H6x9I", 0x3E, 3, 0xFFFE, 9, 6, 0, n_fat, first_dir, 0, 4096, first_mini, mini_sectors, lists[0] if lists else END, n_more)
     first = own[:109]
     return head + struct.pack("<109I", *first, *[FREE] * (109 - len(first))) + b"".join(sectors)
+
+
+def streams_of(c: Container) -> dict[str, bytes]:
+    """The content of each stream by its path."""
+    return {e.path: c.read(e) for e in c.entries if e.kind == "stream"}
+
+
+def edited(data: bytes, replaced: dict[str, bytes], removed: frozenset[str] | set[str] = frozenset()) -> bytes:
+    """The file with streams replaced or added, and streams or whole storages removed."""
+    kept = streams_of(open_container(data)) | replaced
+    return write_container({p: content for p, content in kept.items() if not any(p == r or p.startswith(f"{r}/") for r in removed)})
+
+
+def is_embedded(name: str) -> bool:
+    """Whether a storage of this name holds an embedded object."""
+    return (low := name.lower()).startswith(("embedding", "oleitem")) or low == "figuredata"

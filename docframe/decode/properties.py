@@ -78,3 +78,34 @@ def fonts(data: bytes) -> list[tuple[str, int]]:
         _, at = word_text(at + 12)
         out.append((name, charset))
     return out
+
+
+def summary_bytes(values: dict[int, str | int]) -> bytes:
+    """A property set with one section: texts as UTF-16, numbers as 32 bits; times are numbers of 64 bits above that."""
+    rows, body = b"", b""
+    start = 8 + 8 * len(values)
+    for pid, value in values.items():
+        rows += struct.pack("<2I", pid, start + len(body))
+        if isinstance(value, str):
+            raw = (value + "\0").encode("utf-16-le")
+            body += struct.pack("<2I", 31, len(raw) // 2) + raw.ljust(-(-len(raw) // 4) * 4, b"\0")
+        else:
+            body += struct.pack("<Ii", 3, value) if value < 1 << 31 else struct.pack("<IQ", 64, value)
+    return b"\xfe\xff\0\0".ljust(28, b"\0") + b"\0" * 16 + struct.pack("<I", 48) + struct.pack("<2I", start + len(body), len(values)) + rows + body
+
+
+def fonts_bytes(names: list[tuple[str, int]]) -> bytes:
+    """The font table of (name, character set)."""
+    one = lambda name, charset: b"\0" * 25 + bytes([charset]) + b"\0" * 4 + name.encode("utf-16-be") + b"\0\0" + b"\0" * 12 + b"\0\0"
+    return FONTS.ljust(8, b"\0") + struct.pack(">H", len(names)) + b"".join(one(*x) for x in names)
+
+
+def sheet_names(data: bytes) -> list[str]:
+    """Texts of little-endian words that can be names of sheets: shorter than 64 characters, no path and no storage name."""
+    return [t for t in _word_texts(data) if len(t) < 64 and not t.startswith("DOCS_") and "\\" not in t and ":" not in t]
+
+
+def _word_texts(data: bytes) -> list[str]:
+    words = struct.unpack(f"<{len(data) // 2}H", data[: len(data) // 2 * 2])
+    raw = "".join(chr(w) if w >= 0x20 and w != 0xFFFF else "\n" for w in words)
+    return [t.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") for t in raw.split("\n") if t]

@@ -112,3 +112,19 @@ def docx(paragraphs: list[tuple[str, bool]]) -> bytes:
         for name, content in parts.items():
             z.writestr(zipfile.ZipInfo(name), content)
     return out.getvalue()
+
+
+def rtf(text: str) -> bytes:
+    """The text as an RTF file: paragraphs, tabs, and other than ASCII characters as Unicode words."""
+    out = ["{\\rtf1\\ansi\\uc0 "]
+    for c in text:
+        if c in "\\{}":
+            out.append(f"\\{c}")
+        elif c in "\n\t":
+            out.append("\\par " if c == "\n" else "\\tab ")
+        elif " " <= c <= "~":
+            out.append(c)
+        else:
+            raw = c.encode("utf-16-le", "surrogatepass")
+            out += [f"\\u{int.from_bytes(raw[k : k + 2], 'little', signed=True)} " for k in range(0, len(raw), 2)]
+    return "".join([*out, "}"]).encode("ascii")

@@ -1,35 +1,58 @@
-"""Line breaking by cells, with marks that may hang over the end of a line or must not begin or end one."""
+"""Line breaking by half cells, with marks that may hang over the end of a line or must not begin or end one."""
 
 from __future__ import annotations
 
-# Marks that may hang, marks that must not begin a line, brackets that must not end one.
-HANGING = frozenset("、。,.，．")
-NOT_FIRST = frozenset("、。,.，．)）]］}｝」』】〉》？！ーぁぃぅぇぉっゃゅょァィゥェォッャュョ")
-NOT_LAST = frozenset("（［｛「『【〈《")
+import re
+from bisect import bisect_right
+from itertools import accumulate
 
+# Marks that may hang, marks that must not begin a line, brackets that must not end one, and closing and
+# opening marks of which the first take half their width right before another.
+HANGING = "、。，．,."
+NOT_FIRST = "、。，．,.)）]］｝」』】〕〉》〙〗’”ゝゞーァィゥェォッャュョヮヵヶぁぃぅぇぉっゃゅょゎゕゖ・：；？！!?"
+NOT_LAST = "(（[［｛「『【〔〈《〘〖‘“"
+CLOSING, OPENING = "、。，．）」』】〕〉》", "（「『【〔〈《"
+_ONE = "\x20-\x7e\uff61-\uff9f\xa0-\u024f"
+_OTHERS = re.compile(f"[^{_ONE}]")
+_SQUEEZED = re.compile(f"[{CLOSING}](?=[{CLOSING}{OPENING}])")
 
-def cells(c: str) -> int:
-    """1 for half-width characters, 2 for others."""
-    p = ord(c)
-    return 1 if 0x20 <= p <= 0x7E or 0xFF61 <= p <= 0xFF9F or 0xA0 <= p <= 0x24F or p < 0x20 else 2
 
+def cells(text: str) -> list[int] | None:
+    """Half cells of each character: 1 or 2, 8 for a tab; None if all take 1."""
+    if not _OTHERS.search(text):
+        return None
+    out = [1] * len(text)
+    for m in _OTHERS.finditer(text):
+        out[m.start()] = 8 if m[0] == "\t" else 2
+    for m in _SQUEEZED.finditer(text):
+        out[m.start()] = 1
+    return out
+
+
+def break_lines(text: str, width: int) -> list[tuple[int, int]]:
+    """(start, end) of each line of at most `width` half cells; an empty text has one line.
 
-def break_lines(text: str, width: int, full: bool = False) -> list[tuple[int, int]]:
-    """(start, end) of each line; without `full`, every character takes one cell and only commas and stops hang."""
-    out, start, n = [], 0, len(text)
+    A mark that must not begin a line hangs, if it may, else takes the character before it along; brackets that must not
+    end a line go to the next.
+    """
+    n, sizes = len(text), cells(text)
+    ends = None if sizes is None else list(accumulate(sizes, initial=0))
+    out, start = [], 0
     while start < n:
-        used, at = 0, start
-        while at < n and (w := cells(text[at]) if full else 1) + used <= width:
-            used, at = used + w, at + 1
-        at = max(at, start + 1)
-        if at < n:
-            if text[at] in (HANGING if full else ",."):
-                at += 1
-            elif full:
-                while at - start > 1 and text[at] in NOT_FIRST:
-                    at -= 1
-                while at - start > 1 and text[at - 1] in NOT_LAST:
-                    at -= 1
-        out.append((start, at))
-        start = at
+        at = start + width if ends is None else bisect_right(ends, ends[start] + width) - 1
+        at = cut = max(at, start + 1)
+        if at >= n:
+            break
+        c = text[at]
+        if c in NOT_FIRST:
+            if c in HANGING:
+                cut += 1
+            elif cut - start > 1:
+                cut -= 1
+        while cut - start > 1 and text[cut - 1] in NOT_LAST:
+            cut -= 1
+        out.append((start, cut))
+        start = cut
+    if start < n or not out:
+        out.append((start, n))
     return out

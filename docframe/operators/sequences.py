@@ -33,22 +33,55 @@ def carried(df: DataFrame, keys, order, value: Column, name: str) -> DataFrame:
     return df.withColumn(name, F.last(value, ignorenulls=True).over(_over(keys, order, Window.unboundedPreceding, 0)))
 
 
-def running(df: DataFrame, keys, order, value: Column, name: str, with_current: bool = False) -> DataFrame:
-    """The running sum, of the rows before each row unless with_current; 0 for the first."""
-    total = F.sum(value).over(_over(keys, order, Window.unboundedPreceding, 0 if with_current else -1))
-    return df.withColumn(name, F.coalesce(total, F.lit(0)))
+def running(df: DataFrame, keys, order, value: Column, name: str, with_current: bool = False, cell: Column | None = None) -> DataFrame:
+    """The running sum, of the rows before each row unless with_current; 0 for the first.
+
+    cell: a value that never falls along the order. With it a sequence is summed by cell in parallel, on top of the sums
+    of the cells before: for few long sequences.
+    """
+    frame = (Window.unboundedPreceding, 0 if with_current else -1)
+    if cell is None:
+        return df.withColumn(name, F.coalesce(F.sum(value).over(_over(keys, order, *frame)), F.lit(0)))
+    df = df.withColumn("_cell", cell)
+    sums = df.groupBy(*keys, "_cell").agg(F.sum(value).alias("_sum"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(_over(keys, ["_cell"], Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    own = F.coalesce(F.sum(value).over(_over([*keys, "_cell"], order, *frame)), F.lit(0))
+    return df.withColumn("_own", own).join(before, [*keys, "_cell"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_cell", "_own", "_before")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, name: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, name: str, cell=None) -> DataFrame:
     """left with the value of right's latest row at or before `time` under the same key (the greatest value on ties).
 
-    Both sides are put into one sequence: one shuffle on the key and no row is compared with another by pairs.
+    Both sides are put into one sequence: one shuffle and no row is compared with another by pairs. cell(time): a column
+    that never falls in time; with it a key's sequence is cut into cells that are worked on in parallel, and the last
+    value of each cell is carried to those after it: for few keys with many rows.
     """
     rest = [c for c in left.columns if c not in (key, time)]
     l_side = left.select(key, time, *rest, F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_left"))
     r_side = right.select(key, time, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in rest], F.col(value).alias("_v"), F.lit(0).alias("_left"))
-    merged = carried(l_side.unionByName(r_side), [key], [F.col(time), F.col("_left"), F.col("_v").asc_nulls_last()], F.col("_v"), name)
-    return merged.where("_left = 1").drop("_v", "_left")
+    both = l_side.unionByName(r_side)
+    order = [F.col(time), F.col("_left"), F.col("_v").asc_nulls_last()]
+    if cell is None:
+        return carried(both, [key], order, F.col("_v"), name).where("_left = 1").drop("_v", "_left")
+    both = both.withColumn("_cell", cell(F.col(time)))
+    last = both.groupBy(key, "_cell").agg(F.max(F.when(F.col("_left") == 0, F.struct(time, "_v"))).alias("_last"))
+    w = _over([key], ["_cell"], Window.unboundedPreceding, -1)
+    last = last.select(key, "_cell", F.last("_last", ignorenulls=True).over(w).alias("_last"))
+    found = carried(both, [key, "_cell"], order, F.col("_v"), name).where("_left = 1").join(last, [key, "_cell"])
+    return found.withColumn(name, F.coalesce(name, F.col("_last")["_v"])).drop("_v", "_left", "_cell", "_last")
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, at: str, number: str, name: str, distance: str, cell=None) -> DataFrame:
+    """left with the number of right's row nearest in `at` under the same key (the least number on ties), and its distance.
+
+    One lookup to either side; right's column of numbers has the same name as `number`, its places the name `at`.
+    """
+    one = right.groupBy(key, at).agg(F.min(number).alias(number)).withColumn("_pair", F.struct(F.col(at).alias("at"), F.col(number).alias("no")))
+    below = as_of(left, one, key, at, "_pair", "_below", cell)
+    turned = as_of(below.withColumn(at, -F.col(at)), one.withColumn(at, -F.col(at)), key, at, "_pair", "_above", cell)
+    sides = [F.when(F.col(s).isNotNull(), F.struct(F.abs(-F.col(at) - F.col(f"{s}.at")).alias("d"), F.col(f"{s}.no").alias("no"))) for s in ("_below", "_above")]
+    best = turned.withColumn("_best", F.least(*sides)).withColumn(at, -F.col(at))
+    return best.withColumn(name, F.col("_best.no")).withColumn(distance, F.col("_best.d")).drop("_below", "_above", "_best")
 
 
 def gaps(df: DataFrame, keys, start: str, end: str, low: Column, high: Column) -> DataFrame:
@@ -73,9 +106,9 @@ def first_match(left: DataFrame, right: DataFrame, key: str, order, how: str = "
     return left.join(one, key, how)
 
 
-def within_budget(df: DataFrame, keys, order, size: Column, budget: Column) -> DataFrame:
+def within_budget(df: DataFrame, keys, order, size: Column, budget: Column, cell: Column | None = None) -> DataFrame:
     """The rows before the first whose running size is above the budget, and the column used."""
-    return running(df, keys, order, size, "used", with_current=True).where(F.col("used") <= budget)
+    return running(df, keys, order, size, "used", True, cell).where(F.col("used") <= budget)
 
 
 def top_n(df: DataFrame, keys, order, n: int) -> DataFrame:

@@ -6,35 +6,56 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docframe.cluster import ship
-from docframe.functions.lines import break_lines
+from docframe.functions.lines import CLOSING, HANGING, NOT_FIRST, NOT_LAST, OPENING, break_lines
 from docframe.operators.sequences import top_n
 from docframe.plans.registry import query, table
 
-WIDTH, PER_PAGE = 20, 40
+#: Half cells of a line, lines of a page.
+WIDTH, PER_PAGE = 40, 40
 
 
 def lines(docs):
-    """doc_id, line_no, start, end of each line of the texts at WIDTH cells."""
+    """doc_id, line_no, para_no, start, end of each line of the texts' paragraphs; line_no runs through the document."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            rows = [(d, n, a, b) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for n, (a, b) in enumerate(break_lines(t or "", WIDTH))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "line_no", "start", "end"])
+            found: tuple[list, ...] = ([], [], [], [], [])
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = 0
+                for p, para in enumerate((t or "").split("\n")):
+                    for a, b in break_lines(para, WIDTH):
+                        for column, x in zip(found, (d, n, p, a, b)):
+                            column.append(x)
+                        n += 1
+                if len(found[0]) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=NAMES)
+                    found = ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=NAMES)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line_no long, start long, end long")
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))
 
 
-_SQL_LINES = """
-WITH RECURSIVE l(doc_id, t, line_no, a, b) AS (
-  SELECT doc_id, text, 0, 0, CASE WHEN length(text) <= 20 THEN length(text) WHEN substring(text, 21, 1) IN (',', '.') THEN 21 ELSE 20 END FROM documents WHERE length(text) > 0
-  UNION ALL
-  SELECT doc_id, t, line_no + 1, b, CASE WHEN length(t) - b <= 20 THEN length(t) WHEN substring(t, CAST(b + 21 AS BIGINT), 1) IN (',', '.') THEN b + 21 ELSE b + 20 END FROM l WHERE b < length(t)
-)"""
+NAMES = ["doc_id", "line_no", "para_no", "start", "end"]
+#: The same in SQL, line by line: as many characters as fit, then the rules for marks.
+_FIT = f"""greatest(1, list_max(list_filter(range(0, 41), lambda k: k <= length(s) AND 2 * k - (k - length(regexp_replace(s[1:k], '[\\x20-\\x7e\\x{{ff61}}-\\x{{ff9f}}\\xa0-\\x{{24f}}]', '', 'g'))) + 6 * (k - length(replace(s[1:k], chr(9), '')))
+  - coalesce(list_sum(list_transform(regexp_extract_all(s[1:k + 1], '[{CLOSING}]+[{OPENING}]?'), lambda m: length(m) - 1)), 0) <= 40)))"""
+_MOVED = f"CASE WHEN a + n >= length(t) THEN length(t) - a WHEN contains('{HANGING}', s[n + 1:n + 1]) THEN n + 1 WHEN contains('{NOT_FIRST}', s[n + 1:n + 1]) AND n > 1 THEN n - 1 ELSE n END"
+_CUT = f"CASE WHEN a + n >= length(t) THEN length(t) ELSE a + greatest(1, length(rtrim(s[1:c], '{NOT_LAST}'))) END"
+
+
+def _step(source: str) -> str:
+    return f"SELECT doc_id, para_no, t, k, a, CAST({_CUT} AS BIGINT) AS b FROM (SELECT *, {_MOVED} AS c FROM (SELECT *, {_FIT} AS n FROM (SELECT *, substring(t, CAST(a + 1 AS BIGINT), 42) AS s FROM ({source}) x0) x1) x2) x3"
+
+
+_SQL_LINES = f"""
+WITH RECURSIVE p AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS para_no, unnest(string_split(text, chr(10))) AS t FROM documents),
+c(doc_id, para_no, t, k, a, b) AS ({_step("SELECT doc_id, para_no, t, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS a FROM p")} UNION ALL {_step("SELECT doc_id, para_no, t, k + 1 AS k, b AS a FROM c WHERE b < length(t)")}),
+l AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para_no, k) - 1 AS BIGINT) AS line_no, para_no, a, b FROM c)"""
 
 
 @query(_SQL_LINES + """
-SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS "end" FROM l""")
+SELECT doc_id, line_no, para_no, a AS start, b AS "end" FROM l""")
 def q20_line_break(spark, sf_dir):
     return lines(table(spark, sf_dir, "documents"))
 

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import hashlib
+from itertools import groupby
 
+import pyarrow as pa
+from pyspark.sql import Window, functions as F
+
+from docframe.cluster import ship
+from docframe.functions.edits import common_ends, difference, greedy_bands, replace_all
 from docframe.operators import sequences as S
 from docframe.plans.registry import query, sql_query, table
 
-sql_query(
-    "q24_nearest",
-    """SELECT p_partkey, min_by(s_suppkey, struct(d, s_suppkey)) AS nearest, min(d) AS distance FROM (SELECT p_partkey, s_suppkey, abs(p_size * 100 - CAST(floor(s_acctbal) AS BIGINT)) AS d FROM {part} JOIN {supplier} ON s_nationkey = p_partkey % 25) t GROUP BY p_partkey""",
-    """SELECT p_partkey, arg_min(s_suppkey, d * 1000000 + s_suppkey) AS nearest, min(d) AS distance FROM (SELECT p_partkey, s_suppkey, abs(p_size * 100 - CAST(floor(s_acctbal) AS BIGINT)) AS d FROM {part} JOIN {supplier} ON s_nationkey = p_partkey % 25) t GROUP BY p_partkey""",
-)
+
+@query("""SELECT p_partkey, arg_min(s_suppkey, d * 1000000 + s_suppkey) AS nearest, min(d) AS distance FROM (SELECT p_partkey, s_suppkey, abs(p_size * 100 - CAST(floor(s_acctbal) AS BIGINT)) AS d FROM part JOIN supplier ON s_nationkey = p_partkey % 25) t GROUP BY p_partkey""")
+def q24_nearest(spark, sf_dir):
+    """The supplier nearest to each part's place among those of a nation, by two lookups in order instead of all pairs."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 25).alias("k"), (F.col("p_size") * 100).cast("bigint").alias("at"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("bigint").alias("k"), F.floor("s_acctbal").cast("bigint").alias("at"), F.col("s_suppkey").alias("no"))
+    return S.nearest(p, s, "k", "at", "no", "nearest", "distance", lambda at: F.floor(at / 1000)).where("nearest is not null").select("p_partkey", "nearest", "distance")
 
 
 @query("""
@@ -79,28 +87,103 @@ sql_query(
 
 
 @query("""
-WITH p AS (SELECT doc_id, item_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON doc_id % 40 = item_id),
-n AS (SELECT doc_id, item_id, a, b, (SELECT coalesce(max(i), 0) FROM range(1, 201) r(i) WHERE i <= length(a) AND i <= length(b) AND substring(a, 1, CAST(i AS INTEGER)) = substring(b, 1, CAST(i AS INTEGER))) AS pre FROM p)
-SELECT doc_id, item_id, CAST(pre AS BIGINT) AS prefix, CAST((SELECT coalesce(max(i), 0) FROM range(1, 201) r(i) WHERE i <= length(a) - pre AND i <= length(b) - pre AND right(a, CAST(i AS INTEGER)) = right(b, CAST(i AS INTEGER))) AS BIGINT) AS suffix FROM n
+WITH b AS (SELECT item_id, text AS b, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n_items FROM benchmark),
+p AS (SELECT doc_id, item_id, d.text AS a, b FROM documents d JOIN b ON doc_id % n_items = place),
+n AS (SELECT *, coalesce(list_max(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: a[1:i] = b[1:i])), 0) AS pre FROM p)
+SELECT doc_id, item_id, CAST(pre AS BIGINT) AS prefix, CAST(coalesce(list_max(list_filter(range(1, least(length(a), length(b)) - pre + 1), lambda i: right(a, i) = right(b, i))), 0) AS BIGINT) AS suffix FROM n
 """)
 def q45_prefix_suffix(spark, sf_dir):
-    """Common prefix and suffix of pairs, up to 200 characters each: the trim before a difference."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"))
+    """Common prefix and suffix of whole texts, the trim before a difference: each document with an item, all items in turn."""
+    ship(spark)
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b"))
-    p = d.join(b, F.col("doc_id") % 40 == F.col("item_id"))
-    upto = "filter(sequence(0, least(200, length(a) - {0}, length(b) - {0})), i -> {1}(a, i) = {1}(b, i))"
-    p = p.withColumn("prefix", F.expr(f"array_max({upto.format('0', 'left')})"))
-    return p.select("doc_id", "item_id", F.col("prefix").cast("bigint").alias("prefix"), F.expr(f"cast(array_max({upto.format('prefix', 'right')}) as bigint)").alias("suffix"))
+    b = b.withColumn("place", F.row_number().over(Window.orderBy("item_id")) - 1)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a")).withColumn("place", F.col("doc_id") % F.lit(b.count()))
+
+    def run(batches):
+        for batch in batches:
+            ends = [common_ends(x or "", y or "") for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1))], names=["doc_id", "item_id", "prefix", "suffix"])
+
+    return d.join(b, "place").select("doc_id", "item_id", "a", "b").mapInArrow(run, "doc_id long, item_id long, prefix long, suffix long")
 
 
 @query("""
-SELECT 'deleted' AS op, count(*) AS n FROM (SELECT word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark) EXCEPT ALL SELECT word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents WHERE doc_id < 50))
-UNION ALL SELECT 'inserted', count(*) FROM (SELECT word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents WHERE doc_id < 50) EXCEPT ALL SELECT word FROM (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark))
+WITH old AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark) GROUP BY word), new AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY word)
+SELECT unnest(['deleted', 'inserted']) AS op, unnest([d, i]) AS n FROM (SELECT CAST(sum(greatest(coalesce(old.n, 0) - coalesce(new.n, 0), 0)) AS BIGINT) AS d, CAST(sum(greatest(coalesce(new.n, 0) - coalesce(old.n, 0), 0)) AS BIGINT) AS i FROM old FULL JOIN new USING (word))
 """)
 def q45_multiset_difference(spark, sf_dir):
-    """Words to delete and to insert between two collections; the first fifty documents are the revision compared."""
-    word = F.explode(F.split("text", " ", -1)).alias("word")
-    old = table(spark, sf_dir, "benchmark").select(word)
-    new = table(spark, sf_dir, "documents").where("doc_id < 50").select(word)
-    count = lambda df, op: df.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n")
-    return count(old.exceptAll(new), "deleted").unionByName(count(new.exceptAll(old), "inserted"))
+    """Words to delete from and to insert into the benchmark's to get the documents', by the counts of each word."""
+    words = lambda name, n: table(spark, sf_dir, name).select(F.explode(F.split("text", " ", -1)).alias("word")).groupBy("word").agg(F.count("*").alias(n))
+    both = words("benchmark", "old").join(words("documents", "new"), "word", "full")
+    less = lambda a, b: F.sum(F.greatest(F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0)), F.lit(0)))
+    sums = both.agg(less("old", "new").alias("deleted"), less("new", "old").alias("inserted"))
+    return sums.unpivot([], ["deleted", "inserted"], "op", "n")
+
+
+@query("""
+WITH q AS (SELECT doc_id, text, string_split(text, 'the') AS parts FROM documents)
+SELECT doc_id, CAST(length(array_to_string(parts[1:i], 'the')) AS BIGINT) AS at FROM (SELECT doc_id, parts, unnest(range(1, len(parts))) AS i FROM q)
+""")
+def q85_find_all(spark, sf_dir):
+    """Every place of a word in every text, from the left without overlap."""
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "the", -1).alias("parts"))
+    sizes = F.transform("parts", lambda p: F.length(p) + 3)
+    at = F.aggregate(F.slice(sizes, F.lit(1), F.size("parts") - 1), F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+    return parts.select("doc_id", F.explode(F.slice(at, F.lit(2), F.size("parts") - 1)).alias("end")).select("doc_id", (F.col("end") - 3).cast("bigint").alias("at"))
+
+
+@query("""
+SELECT doc_id, md5(CASE WHEN contains(text, 'and') THEN concat(text[1:position('and' IN text) - 1], '&and', text[position('and' IN text) + 3:]) ELSE text END) AS once, CAST(contains(text, 'and') AS BIGINT) AS n_once,
+  md5(regexp_replace(text, ' +', ' ', 'g')) AS squeezed FROM documents
+""")
+def q86_replace_rescanning(spark, sf_dir):
+    """Replacements that are searched for from the start again; one only if what is put holds what is looked for."""
+    ship(spark)
+
+    def run(batches):
+        for batch in batches:
+            once, twice = ([replace_all(t or "", *pair) for t in batch.column(1).to_pylist()] for pair in (("and", "&and"), ("  ", " ")))
+            digest = lambda found: pa.array([hashlib.md5(t.encode()).hexdigest() for t, _ in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), digest(once), pa.array([n for _, n in once], pa.int64()), digest(twice)], names=["doc_id", "once", "n_once", "squeezed"])
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, once string, n_once long, squeezed string")
+
+
+@query()
+def q87_edit_script(spark, sf_dir):
+    """Each conversation's turns against those before them: words kept, deleted and inserted, as the shortest script."""
+    ship(spark)
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    pairs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.lag("text").over(w).alias("before")).where("before is not null")
+
+    def run(batches):
+        for batch in batches:
+            scripts = [difference((a or "").split(" "), (b or "").split(" ")) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            count = lambda op: pa.array([sum(n for o, _, n in s if o == op) for s in scripts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), count("keep"), count("delete"), count("insert")], names=["conv_id", "turn", "kept", "deleted", "inserted"])
+
+    return pairs.select("conv_id", "turn", "before", "text").mapInArrow(run, "conv_id long, turn long, kept long, deleted long, inserted long")
+
+
+@query()
+def q88_greedy_bands(spark, sf_dir):
+    """Frames of an order (its lines of odd number) each with one figure (of even number) of about its size, in two passes."""
+    ship(spark)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.floor("l_extendedprice").cast("bigint").alias("size"))
+    rows = rows.repartition("l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber", "l_partkey", "size")
+
+    def run(batches):
+        lines = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        out: list[tuple] = []
+        for order, group in groupby(lines, key=lambda r: r[0]):
+            group = list(group)
+            frames, figures = [r for r in group if r[1] % 2], [r for r in group if r[1] % 2 == 0]
+            found = greedy_bands([r[3] for r in frames], [r[3] for r in figures])
+            out += [(order, f[2], None if k is None else figures[k][2]) for f, k in zip(frames, found)]
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["l_orderkey", "frame", "figure"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["l_orderkey", "frame", "figure"])
+
+    return rows.mapInArrow(run, "l_orderkey long, frame long, figure long")

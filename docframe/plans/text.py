@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -97,37 +98,79 @@ sql_query(
     "SELECT doc_id, md5(replace(text, 'and', '&')) AS digest, CAST((length(text) - length(replace(text, 'and', ''))) / 3 AS BIGINT) AS n_replaced FROM {documents}",
     "SELECT doc_id, md5(replace(text, 'and', '&')) AS digest, CAST((length(text) - length(replace(text, 'and', ''))) // 3 AS BIGINT) AS n_replaced FROM {documents}",
 )
-_CLASS = "CASE WHEN c IN (9, 32, 160, 12288) THEN 'space' WHEN c < 32 OR c BETWEEN 127 AND 159 THEN 'control' WHEN c BETWEEN 48 AND 57 THEN 'digit' WHEN c BETWEEN 65 AND 90 OR c BETWEEN 97 AND 122 OR c BETWEEN 192 AND 591 THEN 'latin' WHEN c BETWEEN 12353 AND 12543 THEN 'kana' WHEN c BETWEEN 19968 AND 40959 THEN 'han' ELSE 'other' END"
-sql_query(
-    "q18_char_classes",
-    f"""WITH ch AS (SELECT doc_id, i, ascii(x) AS c FROM (SELECT doc_id, posexplode(split(substring(text, 1, 200), '')) AS (i, x) FROM {{documents}}) t WHERE x <> ''),
-    k AS (SELECT doc_id, i, {_CLASS} AS class FROM ch), n AS (SELECT *, CASE WHEN class = lag(class) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM k)
-    SELECT doc_id, class, CAST(sum(new) AS BIGINT) AS n_runs, count(*) AS n_chars FROM n GROUP BY doc_id, class""",
-    f"""WITH ch AS (SELECT doc_id, i, unicode(substring(text, CAST(i AS BIGINT), 1)) AS c FROM (SELECT doc_id, text, unnest(range(1, least(200, length(text)) + 1)) AS i FROM {{documents}}) t),
-    k AS (SELECT doc_id, i, {_CLASS} AS class FROM ch), n AS (SELECT *, CASE WHEN class = lag(class) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM k)
-    SELECT doc_id, class, CAST(sum(new) AS BIGINT) AS n_runs, count(*) AS n_chars FROM n GROUP BY doc_id, class""",
-)
-_WIDTH = "CASE WHEN c BETWEEN 32 AND 126 OR c BETWEEN 65377 AND 65439 OR c BETWEEN 160 AND 591 THEN 1 ELSE 2 END"
-sql_query(
-    "q19_widths",
-    f"""SELECT doc_id, CAST(sum({_WIDTH}) AS BIGINT) AS half_cells, count(*) AS n_chars, CAST(sum(CASE WHEN c IN (41, 93, 44, 46) AND nxt IN (32, 10) THEN 1 ELSE 0 END) AS BIGINT) AS squeezed FROM
-    (SELECT doc_id, ascii(x) AS c, lead(ascii(x)) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM (SELECT doc_id, posexplode(split(substring(text, 1, 400), '')) AS (i, x) FROM {{documents}}) t WHERE x <> '') u GROUP BY doc_id""",
-    f"""SELECT doc_id, CAST(sum({_WIDTH}) AS BIGINT) AS half_cells, count(*) AS n_chars, CAST(sum(CASE WHEN c IN (41, 93, 44, 46) AND nxt IN (32, 10) THEN 1 ELSE 0 END) AS BIGINT) AS squeezed FROM
-    (SELECT doc_id, unicode(substring(text, CAST(i AS BIGINT), 1)) AS c, lead(unicode(substring(text, CAST(i AS BIGINT), 1))) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM (SELECT doc_id, text, unnest(range(1, least(400, length(text)) + 1)) AS i FROM {{documents}}) t) u GROUP BY doc_id""",
+# White space, and the ranges of the character classes from U+3000 on; closing and opening marks.
+_WHITE = r"\t-\r\x20\x85\xA0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_RANGES = {"hiragana": r"\x{3040}-\x{309f}", "katakana": r"\x{30a0}-\x{30ff}\x{ff66}-\x{ff9f}", "han": r"\x{3005}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}", "wide": r"\x{ff10}-\x{ff5a}"}
+_REST = r"\x{3001}-\x{3004}\x{3006}-\x{303f}\x{3100}-\x{33ff}\x{4dc0}-\x{4dff}\x{a000}-\x{ff0f}\x{ff5b}-\x{ff65}\x{ffa0}-\x{10ffff}"
+CLASSES = {
+    "space": f"[{_WHITE}]",
+    **{name: f"[{r}]" for name, r in _RANGES.items()},
+    "other": rf"(?:[^\p{{L}}\p{{N}}{_WHITE}\x{{3000}}-\x{{10ffff}}]|[{_REST}])",
+}
+CLOSING, OPENING = "、。，．」）』】〕〉》", "（「『【〔〈《"
+
+
+def _class_rows(runs, chars) -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, '{name}' AS class, CAST({runs(name)} AS BIGINT) AS n_runs, CAST({chars(name)} AS BIGINT) AS n_chars FROM d" for name in ["alnum", *CLASSES])
+
+
+def _low(name: str) -> str:
+    return "low" if name == "alnum" else "text"
+
+
+@query(
+    rf"WITH d AS (SELECT doc_id, text, regexp_replace(text, '[\x{{3000}}-\x{{10ffff}}]', chr(1), 'g') AS low FROM documents), r AS ("
+    + _class_rows(lambda n: rf"len(regexp_extract_all({_low(n)}, '(?:{CLASSES.get(n, '[{a}]')})+'))".replace("{a}", r"\p{L}\p{N}"), lambda n: rf"length(text) - length(regexp_replace({_low(n)}, '{CLASSES.get(n, '[{a}]')}', '', 'g'))".replace("{a}", r"\p{L}\p{N}"))
+    + ") SELECT * FROM r WHERE n_chars > 0"
 )
+def q18_char_classes(spark, sf_dir):
+    """Runs and characters of each class in whole texts, without a row for each character: one pattern a class."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_replace("text", r"[\x{3000}-\x{10ffff}]", "\x01").alias("low"))
+    found = []
+    for name in ["alnum", *CLASSES]:
+        pattern, column = CLASSES.get(name, r"[\p{L}\p{N}]"), _low(name)
+        n_runs = F.size(F.regexp_extract_all(column, F.lit(f"(?:{pattern})+"), 0)).cast("bigint")
+        n_chars = (F.length("text") - F.length(F.regexp_replace(column, pattern, ""))).cast("bigint")
+        found.append(F.struct(F.lit(name).alias("class"), n_runs.alias("n_runs"), n_chars.alias("n_chars")))
+    return d.select("doc_id", F.explode(F.array(*found)).alias("c")).select("doc_id", "c.*").where("n_chars > 0")
+
+
+@query(rf"""
+SELECT doc_id, CAST(2 * length(text) - (length(text) - length(regexp_replace(text, '[\x20-\x7e\x{{ff61}}-\x{{ff9f}}\xa0-\x{{24f}}]', '', 'g'))) + 6 * (length(text) - length(replace(text, chr(9), ''))) AS BIGINT) AS half_cells,
+  CAST(length(text) AS BIGINT) AS n_chars, CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '[{CLOSING}]+[{OPENING}]?'), lambda m: length(m) - 1)), 0) AS BIGINT) AS squeezed FROM documents
+""")
+def q19_widths(spark, sf_dir):
+    """Cells of whole texts, a tab taking eight half ones, and closing marks right before another mark, which take half a cell."""
+    half = F.length("text") - F.length(F.regexp_replace("text", r"[\x20-\x7e\x{ff61}-\x{ff9f}\xa0-\x{24f}]", ""))
+    tabs = F.length("text") - F.length(F.replace("text", F.lit("\t"), F.lit("")))
+    marks = F.regexp_extract_all("text", F.lit(f"[{CLOSING}]+[{OPENING}]?"), 0)
+    squeezed = F.aggregate(marks, F.lit(0).cast("bigint"), lambda n, m: n + F.length(m) - 1)
+    return table(spark, sf_dir, "documents").select("doc_id", (2 * F.length("text") - half + 6 * tabs).cast("bigint").alias("half_cells"), F.length("text").cast("bigint").alias("n_chars"), squeezed.alias("squeezed"))
+
+
+# Error words in the order in which they are looked for.
+_KINDS = (("password", "password|encrypt|protect|暗号|パスワード"), ("too_large", "too large or damaged"), ("memory", "memory|allocation|out of bounds|unreachable"), ("unsupported", "unsupported|not supported|not a |format|signature|magic|対応"), ("damaged", "parse|corrupt|invalid|damaged|broken|truncat|壊れ"), ("read", "NotReadable|permission|NotAllowed|Security"))
+
+
+def _kind(test) -> str:
+    return "CASE " + " ".join(f"WHEN {test(words)} THEN '{kind}'" for kind, words in _KINDS) + " ELSE 'other' END"
+
+
+_FAILURES = """SELECT bucket, ext, kind, count(*) AS n FROM (SELECT CASE WHEN mb < 1 THEN '<1MB' WHEN mb < 5 THEN '1-5MB' WHEN mb < 20 THEN '5-20MB' WHEN mb < 50 THEN '20-50MB' WHEN mb < 100 THEN '50-100MB' ELSE '>100MB' END AS bucket,
+  coalesce(nullif(lower(regexp_extract(url, '[.]([A-Za-z0-9]+)$', 1)), ''), 'none') AS ext, {kind} AS kind FROM (SELECT url, html, CAST(length(html) AS DOUBLE) / 40 AS mb FROM {{pages}}) p) t GROUP BY bucket, ext, kind"""
 sql_query(
     "q38_failure_codes",
-    r"""SELECT bucket, ext, kind, count(*) AS n FROM (SELECT CASE WHEN length(html) < 1000 THEN 'small' WHEN length(html) < 5000 THEN 'medium' ELSE 'large' END AS bucket, lower(regexp_extract(url, '\\.([a-z0-9]+)$', 1)) AS ext,
-      CASE WHEN html RLIKE '(?i)script' THEN 'script' WHEN html RLIKE '(?i)error|fail' THEN 'error' WHEN html RLIKE '(?i)login' THEN 'login' ELSE 'none' END AS kind FROM {pages}) t GROUP BY bucket, ext, kind""",
-    r"""SELECT bucket, ext, kind, count(*) AS n FROM (SELECT CASE WHEN length(html) < 1000 THEN 'small' WHEN length(html) < 5000 THEN 'medium' ELSE 'large' END AS bucket, lower(regexp_extract(url, '\.([a-z0-9]+)$', 1)) AS ext,
-      CASE WHEN regexp_matches(html, '(?i)script') THEN 'script' WHEN regexp_matches(html, '(?i)error|fail') THEN 'error' WHEN regexp_matches(html, '(?i)login') THEN 'login' ELSE 'none' END AS kind FROM {pages}) t GROUP BY bucket, ext, kind""",
+    _FAILURES.format(kind=_kind(lambda w: f"html RLIKE '(?i){w}'")),
+    _FAILURES.format(kind=_kind(lambda w: f"regexp_matches(html, '(?i){w}')")),
 )
+# Era dates of the orders, 25 years on.
+_ERA = "concat('令和', CASE WHEN year(o_orderdate) + 25 - 2018 = 1 THEN '元' ELSE CAST(year(o_orderdate) + 25 - 2018 AS STRING) END, '年', CAST(month(o_orderdate) AS STRING), '月', CAST(day(o_orderdate) AS STRING), '日') AS era"
 sql_query(
     "q39_filetime",
-    """SELECT o_orderkey, ft, date_format(timestamp_micros(ft div 10 - 11644473600000000), 'yyyy-MM-dd HH:mm') AS stamp, concat('Heisei ', year(o_orderdate) - 1988, '.', month(o_orderdate), '.', day(o_orderdate)) AS era FROM
-    (SELECT o_orderkey, o_orderdate, (unix_micros(CAST(o_orderdate AS TIMESTAMP)) + 11644473600000000) * 10 AS ft FROM {orders}) t""",
-    """SELECT o_orderkey, ft, strftime(make_timestamp(ft // 10 - 11644473600000000), '%Y-%m-%d %H:%M') AS stamp, concat('Heisei ', year(o_orderdate) - 1988, '.', month(o_orderdate), '.', day(o_orderdate)) AS era FROM
-    (SELECT o_orderkey, o_orderdate, (epoch_us(o_orderdate) + 11644473600000000) * 10 AS ft FROM {orders}) t""",
+    f"""SELECT o_orderkey, ft, date_format(timestamp_micros(ft div 10 - 11644473600000000), 'yyyy-MM-dd HH:mm') AS stamp, {_ERA} FROM
+    (SELECT o_orderkey, o_orderdate, (unix_micros(CAST(o_orderdate AS TIMESTAMP)) + 11644473600000000) * 10 AS ft FROM {{orders}}) t""",
+    f"""SELECT o_orderkey, ft, strftime(make_timestamp(ft // 10 - 11644473600000000), '%Y-%m-%d %H:%M') AS stamp, {_ERA} FROM
+    (SELECT o_orderkey, o_orderdate, (epoch_us(o_orderdate) + 11644473600000000) * 10 AS ft FROM {{orders}}) t""",
 )
 sql_query(
     "q40_style_decode",
@@ -136,11 +179,11 @@ sql_query(
     """SELECT p_partkey, on_flag, bold, size_pt, concat('#', printf('%02x', raw & 255), printf('%02x', (raw >> 8) & 255), printf('%02x', (raw >> 16) & 255)) AS color FROM
     (SELECT p_partkey, (raw & 4) <> 0 AS on_flag, (raw & 4) <> 0 AND ((raw >> 3) & 3) IN (1, 2) AS bold, raw, CAST(least(999.0, greatest(1.0, round(CAST(p_size AS DOUBLE) * 17.0 / 35.2778 * 2) / 2)) AS DOUBLE) AS size_pt FROM (SELECT p_partkey, p_size, (p_partkey * 7919) % 16777216 AS raw FROM {part}) s) t""",
 )
-sql_query(
-    "q41_shade",
-    """SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 100 THEN 255 - ((255 - v) * p_size + 50) div 100 END AS shade, CASE p_size % 4 WHEN 0 THEN p_size * 0.5D WHEN 1 THEN p_size * 2.0D WHEN 2 THEN p_size / 4.0D ELSE NULL END AS feed_pt FROM (SELECT p_partkey, p_size, p_partkey % 256 AS v FROM {part}) t""",
-    """SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 100 THEN 255 - ((255 - v) * p_size + 50) // 100 END AS shade, CASE p_size % 4 WHEN 0 THEN CAST(p_size * 0.5 AS DOUBLE) WHEN 1 THEN CAST(p_size * 2.0 AS DOUBLE) WHEN 2 THEN CAST(p_size / 4.0 AS DOUBLE) ELSE NULL END AS feed_pt FROM (SELECT p_partkey, p_size, p_partkey % 256 AS v FROM {part}) t""",
-)
+# Line feeds in points by kind, of a normal feed of 18: none, parts of it, hundredths of a millimetre, thousandths of it.
+_FEED = "CASE p_size % 10 WHEN 1 THEN 0.0D WHEN 2 THEN 9.0D WHEN 3 THEN 6.0D WHEN 4 THEN 4.5D WHEN 5 THEN 12.0D WHEN 6 THEN 13.5D WHEN 8 THEN CASE WHEN v > 0 THEN round(v * 72.0D / 2540.0D, 6) END WHEN 9 THEN CASE WHEN v > 0 THEN round(18.0D * v / 1000.0D, 6) END END"
+_SHADE = "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 100 THEN CAST(255 - floor(((255 - v) * p_size + 50) / 100) AS BIGINT) END AS shade, {feed} AS feed_pt, round(v * {k}, 6) AS indent_pt FROM (SELECT p_partkey, p_size, p_partkey % 256 AS v FROM {{part}}) t"
+_INDENT = "CASE WHEN p_size % 2 = 0 THEN 72.0D / 2540.0D ELSE 5.25D END"
+sql_query("q41_shade", _SHADE.format(feed=_FEED, k=_INDENT), re.sub(r"(\d+\.\d+)D", r"CAST(\1 AS DOUBLE)", _SHADE.format(feed=_FEED, k=_INDENT)))
 
 
 @query()
@@ -152,9 +195,3 @@ def q46_normalised(spark, sf_dir):
 
     bare = F.regexp_replace("text", "[\\s\\u3000\\u2500-\\u257F]", "")
     return table(spark, sf_dir, "documents").select("doc_id", nfkc(bare).alias("t")).select("doc_id", F.length("t").cast("bigint").alias("n_visible"), F.md5("t").alias("digest"))
-
-
-sql_query(
-    "q48_face_class",
-    """SELECT p_partkey, CASE WHEN contains(lower(p_type), 'brass') THEN 'gothic' WHEN contains(lower(p_type), 'steel') THEN 'mincho' WHEN contains(lower(p_type), 'tin') THEN 'mono' ELSE 'base' END AS face FROM {part}""",
-)

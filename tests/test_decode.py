@@ -154,5 +154,5 @@ def test_files_as_tables(spark, tmp_path):
 def test_break_lines():
     assert break_lines("abcdef", 3) == [(0, 3), (3, 6)]
     assert break_lines("abc,d", 3) == [(0, 4), (4, 5)]
-    assert break_lines("漢字（漢字", 6, full=True) == [(0, 2), (2, 5)]
-    assert break_lines("", 5) == []
+    assert break_lines("漢字（漢字", 6) == [(0, 2), (2, 5)]
+    assert break_lines("", 5) == [(0, 0)]
