@@ -108,7 +108,7 @@ def test_replace_rescans_and_is_bounded():
 
 
 def test_greedy_bands():
-    assert edits.greedy_bands([100, 100, 5000], [110, 5050, 95]) == [0, 2, None]
+    assert edits.greedy_bands([100, 100, 5000], [110, 5050, 95]) == [0, 2, 1]
     assert edits.greedy_bands([100, 9000, 200], [100, 500, 210]) == [0, 1, 2]
     assert edits.greedy_bands([1], []) == [None]
 
