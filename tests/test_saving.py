@@ -73,3 +73,19 @@ def test_page_setup_streams():
         P.parsed(P.setup_stream(given)[:k])
     unknown = P.parsed(P.stream([(P.MARGINS, b"\0" + bytes([0x78]) + bytes(range(8)) + b"\x01\x01"), (0x4242, b"?"), (P.PAPER, b"\x11\0")]))
     assert unknown.margins == [1, 0x203, 0x405, 0x607] and not unknown.vertical and unknown.width == 21000
+
+
+def test_frames_pictures_and_damaged_streams():
+    from docframe.decode import frames as D
+
+    rows = [{"id": 3, "kind": 1, "item": 4, "x": -5, "y": 6, "w": 7, "h": 8, "on_text": True, "fixed": True, "wrap": True, "wrap_blank": False}]
+    assert D.frames(D.frames_bytes(rows)) == rows
+    assert D.embeddings(D.embeddings_bytes([(0, 1), (3, 4)])) == [(0, 1), (3, 4)]
+    gif = b"GIF89a\x01\0\x01\0\0\0\0\0;....."
+    assert D.picture(b"\x08\0\x01\0\0\0\0\0C:\\x.gif\0" + len(gif).to_bytes(4, "little") + gif + b"rest") == ("image/gif", gif)
+    assert D.picture(b"BMnothing") is None and D.picture(b"....\x89PNG") == ("image/png", b"\x89PNG")
+    assert D.background(D.background_bytes((1, 2, 3))) == {"color": "#010203"} and D.background(b"") == {}
+    assert D.anchor([0, 0x30, 0xFFFF, 0x507, 0x12, 5, 0]) == 5 and D.anchor([0, 0x31, 0, 0x507, 0, 5]) is None
+    for data, read in ((D.frames_bytes(rows), D.frames), (D.embeddings_bytes([(1, 2)]), D.embeddings), (D.background_bytes((1, 2, 3), path="ab"), D.background)):
+        for k in range(len(data)):
+            read(data[:k])
