@@ -19,7 +19,9 @@ and slots are read again only from documents that match.
 Defined cases: null texts and items without a letter or digit match nothing; items shorter than WINDOW are matched by
 their whole length, as templates down to MIN_WINDOW tokens and else as they are, so that an item of one word is found in
 every text that holds this word; repeated rows and repeated items are treated one by
-one under their ids (rows that share a doc_id are taken together); an empty table gives no rows.
+one under their ids (rows that share a doc_id are taken together); rows without doc_id are not searched, and `stage` keeps
+them; an empty table gives no rows; other columns are not read. A window common to many items meets each of them in each
+document that holds it, so the work follows documents times the items that share their text.
 """
 
 from __future__ import annotations

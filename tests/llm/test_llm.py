@@ -139,6 +139,18 @@ def test_substrings_long_and_empty(spark, monkeypatch):
     assert substrings.deduplicated(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_substrings_odd_rows_and_very_long_texts(spark):
+    """Null and repeated doc_ids, clashing columns, and a text of several parts that shares a passage with itself and another."""
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passage = text(300)
+    long = text(4_300_000) + passage + text(700_000) + passage + text(100)
+    rows = [(1, long), (1, text(50) + passage), (None, text(400)), (2, text(400)), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS h", "2 AS n_bytes", "3 AS part")
+    got = sorted((r[0] or 0, r[1], r[2], r[3]) for r in substrings.deduplicated(docs).collect())
+    assert got == sorted([(1, len(long), 600, 2), (1, 350, 300, 1), (0, 400, 0, 0), (2, 400, 0, 0), (2, 0, 0, 0)])
+
+
 # 3 near duplicates
 
 
@@ -286,6 +298,18 @@ def test_decontamination_against_words(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()} == expected
 
 
+def test_decontamination_odd_rows(spark):
+    """Repeated items and documents, null ids, clashing columns, a copy with one name changed in one place."""
+    half = "Once " + ITEM.replace("Bob", "Kim", 1).replace("12", "44")
+    docs = spark.createDataFrame([(0, ITEM), (0, ITEM), (None, ITEM), (1, half), (2, "A clean text of words that no item has at all")], "doc_id long, text string").selectExpr("*", "1 AS h", "2 AS item_id", "3 AS p")
+    bench = spark.createDataFrame([(7, ITEM), (7, ITEM), (8, ITEM), (None, "x")], "item_id long, text string").selectExpr("*", "4 AS h", "5 AS doc_id")
+    got = {(r["doc_id"], r["item_id"]): r["n_changed"] for r in decontaminate.matches(docs, bench).collect()}
+    assert {k for k in got if k[0] == 0} == {(0, 7), (0, 8)} and got[0, 7] == 0
+    assert (1, 7) in got and got[1, 7] <= 1  # the windows that are as they were suffice
+    left = decontaminate.stage(docs, bench)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} >= {None, 2} and left.where("doc_id = 0").count() == 0
+
+
 # 5 personal data
 
 
@@ -404,6 +428,13 @@ def test_pii_rows(spark):
     assert out[2]["text"] == "<EMAIL> and <IP>" and out[2]["n_chars"] == len(out[2]["text"]) and out[4]["text"] == "clean" and out[0]["text"] is None
 
 
+def test_pii_empty_table_and_very_long_text(spark):
+    docs = docs_of(spark, ["word " * 200_000 + "a@b.org " + "z " * 100_000, None]).selectExpr("*", "1 AS n_email", "2 AS base_sha256")
+    rows = {r["doc_id"]: r for r in pii.spans(docs).collect()}
+    assert rows[0]["spans"] == "email:1000000:1000007" and rows[1]["spans"] == ""
+    assert pii.spans(docs.limit(0)).count() == 0 and pii.stage(docs.limit(0)).columns == docs.columns
+
+
 # 6 toxicity
 
 
@@ -514,6 +545,13 @@ def test_rules_coverage():
         assert list(m[f"chars_{n}"]) == [chars_by_force(t.split(), n) for t in texts]
 
 
+def test_rules_empty_table_and_very_long_text(spark):
+    docs = docs_of(spark, [" ".join(f"w{k}" for k in range(250_000)), "same " * 200_000]).selectExpr("*", "1 AS n_words", "2 AS kept")
+    got = {r["doc_id"]: r for r in rules.judged(docs).collect()}
+    assert got[0]["kept"] and got[0]["n_repeat_words"] == 0 and not got[1]["kept"] and got[1]["n_repeat_words"] == 200_000
+    assert rules.judged(docs.limit(0)).count() == 0
+
+
 # 8 importance
 
 
