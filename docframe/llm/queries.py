@@ -31,6 +31,25 @@ def op7_quality_rules(spark, sf_dir):
     return rules.judged(_table(spark, sf_dir, "documents"))
 
 
+def _each(form: str, between: str = ", ") -> str:
+    return between.join(form.format(n=n, limit=limit) for n, limit in rules.LIMITS.items())
+
+
+OP7_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT r, j, length(w[j]) AS c, CASE WHEN j + 2 <= len(w) THEN hash(w[j:j + 2]) END AS k3, {_each("CASE WHEN j + {n} - 1 <= len(w) THEN hash(w[j:j + {n} - 1]) END AS k{n}")} FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS j FROM d)),
+f AS (SELECT r, j, c, k3 IS NOT NULL AND count(*) OVER (PARTITION BY r, k3) > 1 AS l3, {_each("k{n} IS NOT NULL AND row_number() OVER (PARTITION BY r, k{n} ORDER BY j) > 1 AS l{n}")} FROM k),
+g AS (SELECT r, c, coalesce(max(CASE WHEN l3 THEN j END) OVER (PARTITION BY r ORDER BY j ROWS UNBOUNDED PRECEDING) > j - 3, false) AS c3, {_each("coalesce(max(CASE WHEN l{n} THEN j END) OVER (PARTITION BY r ORDER BY j ROWS UNBOUNDED PRECEDING) > j - {n}, false) AS c{n}")} FROM f),
+m AS (SELECT r, count(*) AS n_words, sum(c) AS word_chars, count_if(c3) AS n_repeat_words, {_each("coalesce(sum(c) FILTER (c{n}), 0) AS s{n}")} FROM g GROUP BY r),
+l AS (SELECT r, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS line_chars FROM (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY i) AS n FROM (
+  SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d) x WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) y WHERE n > 1 GROUP BY r),
+o AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  coalesce(line_chars, 0) <= {rules.LINE_LIMIT} * greatest(1, coalesce(word_chars, 0)) AND {_each("coalesce(s{n}, 0) <= {limit} * greatest(1, coalesce(word_chars, 0))", " AND ")} AS good FROM d LEFT JOIN m USING (r) LEFT JOIN l USING (r))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND good AS kept FROM o
+"""
+
+
 def op8_importance_resampling(spark, sf_dir):
     """Every document with its weight, its key and whether it is drawn."""
     return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -70,6 +89,21 @@ def op2_suffix_array_dedup(spark, sf_dir):
     return substrings.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP2_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, i, hash(substring(x, CAST(2 * i + 1 AS BIGINT), 400)) AS h FROM (SELECT r, x, unnest(range(0, CAST(length(x) / 2 AS BIGINT) - 199)) AS i FROM d)),
+again AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT r, i, max(i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w SEMI JOIN again USING (h)),
+islands AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS n FROM hits),
+spans AS (SELECT r, n, min(i) AS a, max(i) + 200 AS b FROM islands GROUP BY r, n),
+gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT d.r, coalesce(max(s.b), 0), any_value(length(x)) // 2 FROM d LEFT JOIN spans s USING (r) GROUP BY d.r),
+kept AS (SELECT g.r, string_agg(substring(x, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a) AS x FROM gaps g JOIN d USING (r) GROUP BY g.r)
+SELECT doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, CAST((length(d.x) - length(k.x)) // 2 AS BIGINT) AS n_removed, CAST((SELECT count(*) FROM spans s WHERE s.r = d.r) AS BIGINT) AS n_spans, sha256(unhex(k.x)) AS kept_sha256
+FROM d JOIN kept k USING (r)
+"""
+
+
 def op3_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -104,4 +138,4 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_suffix_array_dedup, op3_minhash_near_dedup, op4_decontamination, op5_pii, op6_toxicity, op7_quality_rules, op8_importance_resampling, op9_language_id, op10_bpe, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op3_minhash_near_dedup": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_suffix_array_dedup": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op7_quality_rules": OP7_SQL}
