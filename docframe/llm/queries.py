@@ -37,7 +37,9 @@ def _each(form: str, between: str = ", ") -> str:
 
 OP7_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-k AS (SELECT r, j, length(w[j]) AS c, CASE WHEN j + 2 <= len(w) THEN hash(w[j:j + 2]) END AS k3, {_each("CASE WHEN j + {n} - 1 <= len(w) THEN hash(w[j:j + {n} - 1]) END AS k{n}")} FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS j FROM d)),
+u AS (SELECT r, unnest(w) AS t, generate_subscripts(w, 1) AS j FROM d),
+n AS (SELECT r, j, length(t) AS c, hash(t) AS h0, {", ".join(f"lead(hash(t), {k}) OVER o AS h{k}" for k in range(1, max(rules.LIMITS)))} FROM u WINDOW o AS (PARTITION BY r ORDER BY j)),
+k AS (SELECT r, j, c, CASE WHEN h2 IS NOT NULL THEN hash(h0, h1, h2) END AS k3, {", ".join(f"CASE WHEN h{n - 1} IS NOT NULL THEN hash({', '.join(f'h{k}' for k in range(n))}) END AS k{n}" for n in rules.LIMITS)} FROM n),
 f AS (SELECT r, j, c, k3 IS NOT NULL AND count(*) OVER (PARTITION BY r, k3) > 1 AS l3, {_each("k{n} IS NOT NULL AND row_number() OVER (PARTITION BY r, k{n} ORDER BY j) > 1 AS l{n}")} FROM k),
 g AS (SELECT r, c, coalesce(max(CASE WHEN l3 THEN j END) OVER (PARTITION BY r ORDER BY j ROWS UNBOUNDED PRECEDING) > j - 3, false) AS c3, {_each("coalesce(max(CASE WHEN l{n} THEN j END) OVER (PARTITION BY r ORDER BY j ROWS UNBOUNDED PRECEDING) > j - {n}, false) AS c{n}")} FROM f),
 m AS (SELECT r, count(*) AS n_words, sum(c) AS word_chars, count_if(c3) AS n_repeat_words, {_each("coalesce(sum(c) FILTER (c{n}), 0) AS s{n}")} FROM g GROUP BY r),
