@@ -31,6 +31,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores if a scan of few row groups gives fewer: for heavy work by row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,7 +7,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docframe.cluster import ship
+from docframe.cluster import ship, spread
 from docframe.decode import archive, blocks, container, properties, texts
 from docframe.limits import Limits
 from docframe.plans import documents
@@ -119,7 +119,7 @@ def d21_docx(spark, sf_dir):
         found = "".join(c for c, _ in texts.docx_characters(texts.docx([(line, False) for line in (r["text"] or "").split("\n")])))
         return [(r["doc_id"], hashlib.md5(found.encode()).hexdigest(), len(found))]
 
-    return _mapped(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id long, digest string, n_chars long", rows)
+    return _mapped(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id long, digest string, n_chars long", rows)
 
 
 @query(r"""
@@ -127,7 +127,7 @@ SELECT doc_id, md5(trim(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'),
 """)
 def d22_rtf(spark, sf_dir):
     """Texts as RTF files, and what is shown of them."""
-    return _mapped(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id long, digest string", lambda r: [(r["doc_id"], hashlib.md5(texts.rtf_text(texts.rtf(r["text"] or "")).encode()).hexdigest())])
+    return _mapped(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id long, digest string", lambda r: [(r["doc_id"], hashlib.md5(texts.rtf_text(texts.rtf(r["text"] or "")).encode()).hexdigest())])
 
 
 @query("SELECT s_suppkey, concat('漢字と', s_name) AS text FROM supplier")

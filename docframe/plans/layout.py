@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docframe.cluster import ship
+from docframe.cluster import ship, spread
 from docframe.functions.lines import CLOSING, HANGING, NOT_FIRST, NOT_LAST, OPENING, break_lines
 from docframe.operators.sequences import top_n
 from docframe.plans.registry import query, table
@@ -33,7 +33,7 @@ def lines(docs):
                     found = ([], [], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=NAMES)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))
 
 
 NAMES = ["doc_id", "line_no", "para_no", "start", "end"]

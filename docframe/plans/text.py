@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import functions as F
 
+from docframe.cluster import spread
 from docframe.operators.sequences import running
 from docframe.plans.registry import query, sql_query, table
 
@@ -125,7 +126,7 @@ def _low(name: str) -> str:
 )
 def q18_char_classes(spark, sf_dir):
     """Runs and characters of each class in whole texts, without a row for each character: one pattern a class."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_replace("text", r"[\x{3000}-\x{10ffff}]", "\x01").alias("low"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("low", F.regexp_replace("text", r"[\x{3000}-\x{10ffff}]", "\x01"))
     found = []
     for name in ["alnum", *CLASSES]:
         pattern, column = CLASSES.get(name, r"[\p{L}\p{N}]"), _low(name)

@@ -11,7 +11,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docframe.cluster import ship
+from docframe.cluster import ship, spread
 from docframe.decode import archive, blocks, blocktree, container, kinds, properties
 from docframe.decode.errors import DecodeError, TooLarge, Unsupported
 from docframe.limits import Limits
@@ -187,10 +187,4 @@ def written(rows: DataFrame, store) -> DataFrame:
                 content = [container.write_container({"/DocumentText": store(r)}) for r in part.to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary())], names=["path", "content"])
 
-    return _spread(rows).mapInArrow(run, "path string, content binary")
-
-
-def _spread(rows: DataFrame) -> DataFrame:
-    """rows in as many partitions as there are cores, if a small scan gives fewer: the work by row is heavy here."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return spread(rows).mapInArrow(run, "path string, content binary")
