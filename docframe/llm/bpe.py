@@ -31,8 +31,10 @@ from pyspark.sql import DataFrame
 
 from docframe.cluster import ship
 
+#: Bits of an id in the key of a pair, and of a place in an entry of the queue.
+PAIR, PLACE = 24, 40
 #: Words whose ids a worker keeps at most.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 #: White space of the Unicode standard, as the splitting patterns' engine sees it.
 WHITE = "[" + "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]"
 _NEWER = regex.compile(r"[\p{L}\p{N}]")
@@ -60,7 +62,7 @@ class Bpe:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {}
         for rank, (a, b) in enumerate(pairs):
-            self.ranks[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            self.ranks[self.vocab[a] << PAIR | self.vocab[b]] = (rank, self.vocab[a + b])
         self.strings = {i: s for s, i in self.vocab.items()}
         self.special = {}
         for t in spec.get("added_tokens", []):
@@ -81,7 +83,8 @@ class Bpe:
         own = "[" + "".join(sorted(self.newer)) + "]"
         pattern = pattern.replace(r"[\p{L}]", rf"[\p{{L}}--{own}]").replace(r"[\p{N}]", rf"[\p{{N}}--{own}]")
         self.strict = regex.compile(pattern.replace("[^" + WHITE[1:-1] + r"\p{L}\p{N}]", "[[^" + WHITE[1:-1] + r"\p{L}\p{N}]||" + own + "]"), regex.V1)
-        self.bytes = byte_symbols()
+        symbols = byte_symbols()
+        self.inner, self.last = [self.vocab.get(c) for c in symbols], [self.vocab.get(c + self.suffix) for c in symbols]
         self.known: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
@@ -92,33 +95,48 @@ class Bpe:
             return lambda s: s.lower() if s.isascii() else "".join([c.lower() for c in s])
         if x["type"] == "Replace" and "Regex" in x["pattern"]:
             pattern = regex.compile(x["pattern"]["Regex"].replace(r"\s", WHITE))
-            return lambda s, put=x["content"]: pattern.sub(lambda _: put, s)
+            put = x["content"].replace("\\", "\\\\")  # a template that stands for itself
+            return lambda s: pattern.sub(put, s)
         raise ValueError(f"the normaliser {x['type']} is not supported")
 
     def word(self, word: str) -> tuple[int, ...]:
-        """The ids of one word of the splitting pattern."""
-        symbols = [self.bytes[b] for b in word.encode("utf-8")]
-        symbols[-1] += self.suffix
-        ids = [self.vocab[s] for s in symbols if s in self.vocab]
-        n = len(ids)
-        before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
+        """The ids of one word of the splitting pattern.
+
+        Symbols are a doubly linked list; the queue holds (rank, place) as one number. An entry is stale unless the pair
+        that is now at its place has its rank, as each pair has a rank of its own.
+        """
+        raw = word.encode("utf-8")
+        ids = [self.inner[b] for b in raw[:-1]]
+        ids.append(self.last[raw[-1]])
+        if None in ids:
+            ids = [x for x in ids if x is not None]
+        n, rank_of, pop, push = len(ids), self.ranks.get, heapq.heappop, heapq.heappush
         queue = []
         for i in range(n - 1):
-            if found := self.ranks.get((ids[i], ids[i + 1])):
-                queue.append((found[0], i, ids[i], ids[i + 1], found[1]))
+            if found := rank_of(ids[i] << PAIR | ids[i + 1]):
+                queue.append(found[0] << PLACE | i)
+        if not queue:
+            return tuple(ids)
         heapq.heapify(queue)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
-            _, i, left, right, merged = heapq.heappop(queue)
+            entry = pop(queue)
+            i = entry & (1 << PLACE) - 1
             j = after[i]
-            if not alive[i] or ids[i] != left or j >= n or ids[j] != right:
+            if j >= n or ids[i] < 0:
                 continue
-            ids[i], alive[j], after[i] = merged, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (found := self.ranks.get((ids[a], ids[b]))):
-                    heapq.heappush(queue, (found[0], a, ids[a], ids[b], found[1]))
-        return tuple(x for x, live in zip(ids, alive) if live)
+            found = rank_of(ids[i] << PAIR | ids[j])
+            if not found or found[0] != entry >> PLACE:
+                continue
+            ids[i], ids[j] = found[1], -1  # j is gone
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if found := rank_of(ids[i] << PAIR | ids[k]):
+                    push(queue, found[0] << PLACE | i)
+            if (k := before[i]) >= 0 and (found := rank_of(ids[k] << PAIR | ids[i])):
+                push(queue, found[0] << PLACE | k)
+        return tuple([x for x in ids if x >= 0])
 
     def _plain(self, text: str, out: list[int]) -> None:
         for step in self.steps:
