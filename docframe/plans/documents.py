@@ -85,3 +85,36 @@ def d15_rule_items(spark, sf_dir):
     items = v.withColumn("items", F.expr("transform(sequence(4, size(v) - 1, 4), k -> named_struct('a', if(k + 3 <= size(v), v[k], 0), 'd', if(k + 3 <= size(v), v[k + 2], v[k])))"))
     size = F.expr("aggregate(items, 0, (t, x) -> t + x.a + x.d + 2) - if(element_at(items, -1).a = 0 and element_at(items, -1).d = 0, 1, 0) + v[2] + 1")
     return items.select(_key(), size.cast("bigint").alias("total"), F.size("items").cast("bigint").alias("n_items"))
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS covered, CAST(CASE WHEN length(text) > 3 THEN 2 WHEN length(text) > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_spans, true AS whole FROM documents WHERE length(text) > 0")
+def d37_style_coverage(spark, sf_dir):
+    """The style spans of each file cover its units without gaps or overlaps: their lengths add up to the end of the last."""
+    from docframe.plans.decoded import doc_id
+
+    s = files.style_spans(files.containers(table(spark, sf_dir, "documents"))).where("unit_len is not null")
+    end = F.max(F.col("unit_start") + F.col("unit_len"))
+    return s.groupBy(doc_id()).agg(F.sum("unit_len").cast("bigint").alias("covered"), F.count("*").alias("n_spans"), (F.sum("unit_len") == end).alias("whole"))
+
+
+@query("""
+SELECT s_suppkey, tag, CAST(n AS BIGINT) AS n, CAST(n_values AS BIGINT) AS n_values FROM supplier, (VALUES (36, 1, 1), (143, 2, 26)) t(tag, n, n_values)
+""")
+def d38_line_tags(spark, sf_dir):
+    """Tags of the line records of each file: after one word, tag, count and values until 0xFFFF, by a fold over the words."""
+    words = files.tokens(_files(spark, sf_dir)).where("kind = 'record' and code = 16").select("path", "words")
+    step = """aggregate(sequence(1, size(words)), named_struct('at', 1, 'found', array_repeat(named_struct('tag', 0, 'n', 0), 0)),
+        (s, i) -> if(s.at + 1 >= size(words) or words[s.at] = 65535, s, named_struct('at', s.at + 2 + words[s.at + 1], 'found', array_append(s.found, named_struct('tag', words[s.at], 'n', words[s.at + 1])))), s -> s.found)"""
+    tags = words.select("path", F.explode(F.expr(step)).alias("t"))
+    return tags.groupBy(_key(), F.col("t.tag").alias("tag")).agg(F.count("*").alias("n"), F.sum("t.n").cast("bigint").alias("n_values"))
+
+
+@query("""
+SELECT s_suppkey, kind, text FROM (SELECT s_suppkey, 'visible' AS kind, CAST(s_nationkey AS VARCHAR) AS text FROM supplier UNION ALL SELECT s_suppkey, 'reading', concat('r', s_nationkey) FROM supplier)
+""")
+def d39_inline_kinds(spark, sf_dir):
+    """Inline texts of each file by the two selector words of their heads."""
+    t = files.tokens(_files(spark, sf_dir)).where("kind = 'inline'")
+    a, b = F.get("words", F.lit(4)), F.get("words", F.lit(5))
+    kind = F.when(b == 0x82, "reading").when((a == 1) & (b == 0), "hidden").otherwise("visible")
+    return t.select(_key(), kind.alias("kind"), "text")
