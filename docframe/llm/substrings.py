@@ -274,28 +274,37 @@ def _transform(length: int):
     return run
 
 
-def _cut(length: int, whole: bool):
-    """From rows (text, places, doc_id, t): the contexts, or the windows of contexts as two hashes."""
+_CONTEXT = ("h", "n", "doc_id", "t", "s", "context")
+
+
+def _cut(length: int):
+    """From rows (text, places, doc_id, t): the contexts."""
 
     def run(batches):
         for batch in batches:
             kind = batch.schema.field(2).type
             for text, places, doc_id, t in zip(*(c.to_pylist() for c in batch.columns)):
-                data = text.encode()
-                if whole:
-                    n = len(places)
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array([p[k] for p in places], pa.int64()) for k in ("h", "n")), pa.array([doc_id] * n, kind), pa.array([t] * n, pa.int64()), pa.array([p["s"] for p in places], pa.int64()), pa.array([data[p["s"] : p["e"] + length] for p in places], pa.binary())],
-                        names=["h", "n", "doc_id", "t", "s", "context"],
-                    )
-                    continue
-                for p in places:
-                    part = np.frombuffer(data[p["s"] : p["e"] + length], np.uint8)
-                    start = np.arange(p["e"] - p["s"] + 1)
-                    n = len(start)
-                    one = _Hasher(part)(start, start + length, 1).view(np.int64)
-                    two = _Hasher(part[::-1])(len(part) - start - length, len(part) - start, 2).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array([p["n"]] * n, pa.int64()), pa.array([doc_id] * n, kind), pa.array([t] * n, pa.int64()), pa.array((start + p["s"]) * PACK)], names=["w1", "w2", "n", "doc_id", "t", "run"])
+                data, n = text.encode(), len(places)
+                h, copies, kinds, s = (pa.array([p[k] for p in places], pa.int64()) for k in ("h", "n", "kinds", "s"))
+                contexts = pa.array([data[p["s"] : p["e"] + length] for p in places], pa.binary())
+                yield pa.RecordBatch.from_arrays([h, copies, pa.array([doc_id] * n, kind), pa.array([t] * n, pa.int64()), s, contexts, kinds], names=[*_CONTEXT, "kinds"])
+
+    return run
+
+
+def _windows(length: int):
+    """The windows of contexts (h, n, doc_id, t, s, context) as two hashes each."""
+
+    def run(batches):
+        for batch in batches:
+            kind = batch.schema.field(2).type
+            for _, n, doc_id, t, s, context in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(context, np.uint8)
+                start = np.arange(len(part) - length + 1)
+                one = _Hasher(part)(start, start + length, 1).view(np.int64)
+                two = _Hasher(part[::-1])(len(part) - start - length, len(part) - start, 2).view(np.int64)
+                k = len(start)
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array([n] * k, pa.int64()), pa.array([doc_id] * k, kind), pa.array([t] * k, pa.int64()), pa.array((start + s) * PACK)], names=["w1", "w2", "n", "doc_id", "t", "run"])
 
     return run
 
@@ -329,16 +338,16 @@ def repeated_windows(keyed: DataFrame, length: int = LENGTH, max_contexts: int =
     several = contexts.groupBy("h").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("h", "kinds")
     open_ones = durable(contexts.join(several, "h").select("h", "n", "kinds", "at.*"))
 
-    def read(rows):
-        places = rows.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "n", "s", "e")).alias("places"))
-        return keyed.join(places, ["doc_id", "t"]).select("text", "places", "doc_id", "t")
-
-    cut = read(open_ones.where(F.col("kinds") <= max_contexts)).mapInArrow(_cut(length, True), f"h long, n long, doc_id {kind}, t long, s long, context binary")
-    found = cut.repartition("h").sortWithinPartitions("h").mapInArrow(_transform(length), f"doc_id {kind}, t long, run long")
+    # The texts are read once, for contexts of either kind; what is read is kept if it is needed twice.
+    places = open_ones.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "n", "kinds", "s", "e")).alias("places"))
+    cut = keyed.join(places, ["doc_id", "t"]).select("text", "places", "doc_id", "t").mapInArrow(_cut(length), f"h long, n long, doc_id {kind}, t long, s long, context binary, kinds long")
+    crowded = not open_ones.where(F.col("kinds") > max_contexts).isEmpty()
+    cut = durable(cut) if crowded else cut
+    found = cut.where(F.col("kinds") <= max_contexts).select(*_CONTEXT).repartition("h").sortWithinPartitions("h").mapInArrow(_transform(length), f"doc_id {kind}, t long, run long")
     out = plain.unionByName(found)
-    large = open_ones.where(F.col("kinds") > max_contexts)
-    if not large.isEmpty():
-        windows = durable(read(large).mapInArrow(_cut(length, False), f"w1 long, w2 long, n long, doc_id {kind}, t long, run long"))
+    if crowded:
+        large = cut.where(F.col("kinds") > max_contexts).select(*_CONTEXT)
+        windows = durable(large.mapInArrow(_windows(length), f"w1 long, w2 long, n long, doc_id {kind}, t long, run long"))
         again = windows.groupBy("w1", "w2").agg(F.count("*").alias("k")).where("k > 1").select("w1", "w2")
         out = out.unionByName(windows.where("n = 1").join(again, ["w1", "w2"]).select("doc_id", "t", "run"))
     return out
