@@ -1,4 +1,4 @@
-"""Operators over ordered rows: islands, spans, carried state, as-of lookup, gaps, positional zip, budgets.
+"""Operators over ordered rows: islands, spans, carried state, as-of lookup, ranges, gaps, positional zip, budgets.
 
 Each takes the columns that partition the sequence and a total order, so that results don't depend on partitioning, and
 plans as one shuffle on the partition columns.
@@ -84,6 +84,27 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, number: str, n
     return best.withColumn(name, F.col("_best.no")).withColumn(distance, F.col("_best.d")).drop("_below", "_above", "_best")
 
 
+def in_range(df: DataFrame, keys, at: str, low: Column, high: Column, number: str, count: str, least: str) -> DataFrame:
+    """keys and `at` of each distinct place, the count of df's rows with a place from low to high under the same keys, and
+    the least number among them. low and high are whole numbers made of the place.
+
+    Rows are counted by place, places by aligned blocks of 1, 2, 4, 8.. numbers, and a range is put together from at most
+    two blocks of each size: no row is compared with another by pairs, however many are in range. Places without keys are
+    left out. Blocks are joined by merging, as sizes estimated from files would have them broadcast.
+    """
+    places = df.groupBy(*keys, at).agg(F.count("*").alias("_n"), F.min(number).alias("_least"))
+    asked = places.select(*keys, at, low.alias("_low"), (high + 1).alias("_end"))
+    last = F.length(F.bin(F.col("_size"))) - 1  # the largest power of two in it
+    top = df.agg(F.max(high + 1 - low).alias("_size")).select(last.alias("_top"))
+    cut = asked.withColumn("_size", F.col("_end") - F.col("_low")).where("_size > 0").withColumn("_level", F.explode(F.sequence(F.lit(0), last)))
+    cut = cut.withColumn("_from", F.expr("-shiftright(-_low, _level)")).withColumn("_to", F.expr("shiftright(_end, _level)")).where("_from < _to")
+    ends = F.array(F.when(F.expr("_from & 1 = 1"), F.col("_from")), F.when(F.expr("_to & 1 = 1"), F.col("_to") - 1))
+    cut = cut.select(*keys, at, "_level", F.explode(F.array_compact(ends)).alias("_block"))
+    blocks = places.crossJoin(F.broadcast(top)).withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_top"))))
+    blocks = blocks.groupBy(*keys, "_level", F.expr(f"shiftright({at}, _level)").alias("_block")).agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"))
+    return cut.join(blocks.hint("merge"), [*keys, "_level", "_block"]).groupBy(*keys, at).agg(F.sum("_n").alias(count), F.min("_least").alias(least))
+
+
 def gaps(df: DataFrame, keys, start: str, end: str, low: Column, high: Column) -> DataFrame:
     """keys, gap_start, gap_end: what the half-open intervals leave free of [low, high)."""
     w = Window.partitionBy(*keys).orderBy(start, end)

@@ -23,6 +23,27 @@ def test_as_of_brute_force(spark):
         assert got[i] == (max(there)[1] if there else None)
 
 
+def test_in_range_brute_force(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "b", "b", None]), rnd.choice([None, -5, rnd.randrange(-90, 90), rnd.randrange(900), 10**12 + rnd.randrange(10**11)]), rnd.choice([None, i])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, at long, no int")
+    reach = F.greatest(F.lit(3), F.expr("at div 7"))
+    got = {(r["k"], r["at"]): (r["n"], r["least"]) for r in S.in_range(df, ["k"], "at", F.col("at") - reach, F.col("at") + 2 * reach, "no", "n", "least").collect()}
+    want = {}
+    for k, at in {(k, at) for k, at, _ in rows if k is not None and at is not None}:
+        reach = max(3, at // 7)
+        there = [no for other, v, no in rows if other == k and v is not None and at - reach <= v <= at + 2 * reach]
+        want[k, at] = (len(there), min((no for no in there if no is not None), default=None))
+    assert got == want
+
+
+def test_in_range_of_empty_ranges(spark):
+    df = spark.createDataFrame([("a", 1, 7), ("a", 5, 8)], "k string, at long, no int")
+    ranges = {"nothing": (1, 0), "between": (2, 2), "other": (4, 4)}
+    got = {name: sorted(tuple(r) for r in S.in_range(df, ["k"], "at", F.col("at") + low, F.col("at") + high, "no", "n", "least").collect()) for name, (low, high) in ranges.items()}
+    assert got == {"nothing": [], "between": [], "other": [("a", 1, 1, 8)]}
+
+
 def test_gaps(spark):
     df = spark.createDataFrame([(1, 2, 5), (1, 4, 6), (1, 8, 9), (2, 0, 10)], "k int, a int, b int")
     got = sorted(tuple(r) for r in S.gaps(df, ["k"], "a", "b", F.lit(0), F.lit(10)).collect())
